@@ -6,9 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gridsmith.functions import columns as cl
-from gridsmith.functions import exprs
-from gridsmith.operators import clean, encode, features, profile, scale, select
+from gridsmith.operators import clean, encode, features, scale, select
 from gridsmith.plans.recipe import Recipe, Step
 from gridsmith.session import checkpoint_dir
 from gridsmith.sources import tables
@@ -397,11 +395,6 @@ def datetime_parts_text(spark, sf):
     return out.select("o_orderkey", F.col("d_year").cast("long").alias("d_year"), F.col("d_month").cast("long").alias("d_month"))
 
 
-@query("date_candidates")
-def date_candidates(spark, sf):
-    return spark.createDataFrame([(c,) for c in cl.date_candidates(table(spark, sf, "lineitem"))], "column string")
-
-
 @query(
     "interactions",
     f"SELECT l_orderkey, l_partkey, {rnd('l_quantity * l_discount', 6)} AS l_quantity_x_l_discount, "

@@ -101,14 +101,22 @@ def top_missing(spark, sf):
     return rounded(profile.top_missing(view(spark, sf, "li")).drop("position"), 6)
 
 
-@query("type_counts", "SELECT 'Numeric Features' AS type, 8::BIGINT AS \"count\" UNION ALL SELECT 'Categorical Features', 3::BIGINT")
-def type_counts(spark, sf):
-    return profile.type_counts(table(spark, sf, "lineitem"))
+KINDS = union(
+    [
+        f"SELECT '{c}' AS \"column\", '{'numeric' if c in LI_NUM else 'categorical'}' AS kind, count(*) - count({c}) AS missing FROM li" for c in LI_COLS
+    ]
+)
 
 
-@query("column_kinds")
+@query("column_kinds", with_view("li", KINDS))
 def column_kinds(spark, sf):
-    return cl.column_kinds(table(spark, sf, "orders"))
+    df = view(spark, sf, "li")
+    return cl.column_kinds(df).select("column", "kind").join(profile.missing(df).select("column", "missing"), "column")
+
+
+@query("type_counts", and_with("li", f"k AS ({KINDS}) SELECT kind, count(*) AS \"count\", sum(missing)::BIGINT AS missing FROM k GROUP BY 1"))
+def type_counts(spark, sf):
+    return column_kinds(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("count"), F.sum("missing").alias("missing"))
 
 
 @query(

@@ -130,14 +130,15 @@ def _refined_quantiles(long: DataFrame, keys: list[str], probs: list[float]) ->
     A pass cuts the bracket to about 3/200 of its rows. Ranks are exact because
     rows below the bracket are counted, not estimated.
     """
-    rows = long.where(F.col("value").isNotNull())
+    given, keys = keys, [f"_g{i}" for i in range(len(keys))]
+    rows = long.where(F.col("value").isNotNull()).select(*[col(c).alias(k) for c, k in zip(given, keys)], "value")
     grid = [i / _GRID for i in range(_GRID + 1)]
     sketch = F.percentile_approx("value", grid, F.lit(10_000)).alias("g")
 
     def bracket(state: DataFrame) -> DataFrame:
-        spot = (F.col("k") - F.col("below")) / F.col("inside") * _GRID
-        low = F.greatest(F.floor(spot).cast("int") - 1, F.lit(0))
-        high = F.least(F.ceil(spot).cast("int") + 2, F.lit(_GRID))
+        spot = lambda rank: (rank - F.col("below")) / F.col("inside") * _GRID
+        low = F.greatest(F.floor(spot(F.floor("k"))).cast("int") - 1, F.lit(0))
+        high = F.least(F.ceil(spot(F.ceil("k") + 1)).cast("int") + 1, F.lit(_GRID))
         return state.withColumns({"lo": F.col("g")[low], "hi": F.col("g")[high]}).drop("g", "inside", "below")
 
     first = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("inside"), sketch)
@@ -172,7 +173,7 @@ def _refined_quantiles(long: DataFrame, keys: list[str], probs: list[float]) ->
     value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("k") - F.floor("k"))
     place = F.create_map(*[x for i, p in enumerate(probs) for x in (F.lit(float(p)), F.lit(i))])[F.col("p")]
     listed = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(place.alias("i"), value.alias("v")))).alias("s"))
-    return listed.select(*[col(k) for k in keys], F.col("s.v").alias("q"))
+    return listed.select(*[col(k).alias(c) for c, k in zip(given, keys)], F.col("s.v").alias("q"))
 
 
 def running_totals(

@@ -21,7 +21,7 @@ _CHUNK = 10_000
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.where(col(label).isNotNull()).groupBy(col(label)).agg(F.count(F.lit(1)).alias("n"))
+    return df.where(col(label).isNotNull()).groupBy(col(label)).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def _repeat(df: DataFrame, copies: Column, key: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _repeat(df: DataFrame, copies: Column, key: str) -> DataFrame:
 
 
 def _extremes(df: DataFrame, label: str) -> tuple[int, int, int]:
-    row = class_counts(df, label).agg(F.max("n"), F.min("n"), F.count(F.lit(1))).first()
+    row = class_counts(df, label).agg(F.max("_n"), F.min("_n"), F.count(F.lit(1))).first()
     return row[0] or 0, row[1] or 0, row[2]
 
 
@@ -48,8 +48,8 @@ def oversample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame
     """Every class grown to the largest: all rows in full copies, then the first
     rows in hash order once more. Counts are exact."""
     most, _, _ = _extremes(df, label)
-    counts = class_counts(df, label).withColumn("_size", F.col("n"))
-    ranked = lookup_join(hash_rank(df, key, seed, [label], "_rn"), counts, [label], "n")
+    counts = class_counts(df, label).withColumn("_size", F.col("_n"))
+    ranked = lookup_join(hash_rank(df, key, seed, [label], "_rn"), counts, [label], "_n")
     copies = F.floor(F.lit(most) / F.col("_size")) + (F.col("_rn") <= F.pmod(F.lit(most), F.col("_size"))).cast("long")
     return _repeat(ranked, copies, key).drop("_rn", "_size")
 
@@ -67,19 +67,20 @@ def smote(df: DataFrame, label: str, key: str, features: str = "features", seed:
     if least < SMOTE_ROWS:
         raise ValueError(f"needs at least {SMOTE_ROWS} rows in the smallest class, found {least}")
     parts = [df.select(col(key), col(label), col(features), F.lit(False).alias("synthetic"))]
-    for r in class_counts(df, label).where(F.col("n") < most).collect():
-        value, n = r[0], r["n"]
+    for r in class_counts(df, label).where(F.col("_n") < most).collect():
+        value, n = r[0], r["_n"]
         rows = df.where(col(label) == F.lit(value))
         points = as_points(rows, key, features)
-        near = knn(points, points, min(SMOTE_NEIGHBORS, n - 1), exclude_same_key=True, carry=["x"])
+        held = points.withColumn("at", F.col("x"))
+        near = knn(points, held, min(SMOTE_NEIGHBORS, n - 1), exclude_same_key=True, carry=["at"])
         # a row has at most five neighbours, so the list is bounded
-        near = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "x"))).alias("near"))
+        near = near.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "at"))).alias("near"))
         base = hash_rank(points, "key", seed, name="_rn").join(near, "key")
         need = most - n
         copies = F.floor(F.lit(need) / F.lit(n)) + (F.col("_rn") <= F.lit(need % n)).cast("long")
         many = _repeat(base, copies, "key")
         draw = lambda salt: F.pmod(F.xxhash64("key", "copy", F.lit(seed), F.lit(salt)), F.lit(1_000_003))
-        pick = F.element_at("near", (F.pmod(draw("pick"), F.size("near")) + 1).cast("int"))["x"]
+        pick = F.element_at("near", (F.pmod(draw("pick"), F.size("near")) + 1).cast("int"))["at"]
         gap = draw("gap") / F.lit(1_000_003.0)
         made = many.withColumns({"_other": pick, "_gap": gap})
         mixed = F.zip_with("x", "_other", lambda a, b: a + (b - a) * F.col("_gap"))
@@ -121,7 +122,7 @@ def apply(train: DataFrame, label: str, strategy: str, key: str, seed: int = 42)
 
 def report_frame(train: DataFrame, label: str, strategy: str) -> DataFrame:
     """The class part of the report with the rows each class gets."""
-    counts = class_counts(train, label)
+    counts = class_counts(train, label).withColumnRenamed("_n", "n")
     goal = {"oversample": F.max("n"), "smote": F.max("n"), "undersample": F.min("n")}
     if strategy not in goal:
         return counts.withColumn("n_after", F.col("n"))

@@ -63,13 +63,13 @@ def density(df: DataFrame, x: str, bins: int = BINS, color: str | None = None, f
 
 
 def _quartiles(df: DataFrame, y: str, keys: list[str]) -> DataFrame:
-    """keys..., n, q1, median, q3, low_fence, high_fence."""
+    """keys..., _n, q1, median, q3, low_fence, high_fence."""
     q = group_quantiles(df, keys, y, [0.25, 0.5, 0.75])
-    n = df.groupBy(*[col(k).alias(f"_n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    n = df.groupBy(*[col(k).alias(f"_n_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     both = q.join(n, _same([col(k) for k in keys], [col(f"_n_{k}") for k in keys]))
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     return both.select(
-        *[col(k) for k in keys], "n", q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
+        *[col(k) for k in keys], "_n", q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
         (q1 - 1.5 * (q3 - q1)).alias("low_fence"), (q3 + 1.5 * (q3 - q1)).alias("high_fence"),
     )
 
@@ -83,7 +83,7 @@ def _with_fences(df: DataFrame, y: str, x: str | None, color: str | None, facet:
     rows = rows.select(*[col(k) for k in keys], col(y).cast("double").alias("_y"))
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit("all")), ["_all"]
-    return lookup_join(rows, _quartiles(rows, "_y", keys), keys, "n"), keys
+    return lookup_join(rows, _quartiles(rows, "_y", keys), keys, "_n"), keys
 
 
 def box(df: DataFrame, y: str, x: str | None = None, color: str | None = None, facet: str | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", color: s
     if y is None:
         out = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("count"))
         return out if color else out.orderBy(F.desc("count"), col(x).asc_nulls_last()).limit(top_n)
-    out = features.grouped(df, keys, y, [agg]).select(*[col(k) for k in keys], F.col(agg).alias("value"))
+    out = features.grouped(df, keys, y, [agg]).select(*[col(k) for k in keys], F.col(f"_{agg}").alias("value"))
     if color:
         return out
     order = [F.desc_nulls_last("value"), col(x).asc_nulls_last()] if by_value else [col(x).asc_nulls_last()]
@@ -205,8 +205,8 @@ corr = relate.corr
 def pivot(df: DataFrame, row: str, column: str, value: str, agg: str = "mean", max_columns: int = 200) -> DataFrame:
     """Aggregate by row and column value, empty cells 0; long form when wider than ``max_columns``."""
     cells = features.grouped(df.where(col(row).isNotNull() & col(column).isNotNull()), [row, column], value, [agg])
-    cells = cells.where(F.col(agg).isNotNull()).select(
-        col(row).alias("row"), col(column).cast("string").alias("column"), F.col(agg).cast("double").alias("value")
+    cells = cells.where(F.col(f"_{agg}").isNotNull()).select(
+        col(row).alias("row"), col(column).cast("string").alias("column"), F.col(f"_{agg}").cast("double").alias("value")
     )
     names = encode.levels(cells, "column") if profile.distinct_counts(df, [column])[column] <= max_columns else None
     if names is None:

@@ -22,8 +22,8 @@ def encodable(df: DataFrame, limit: int = 50) -> list[str]:
 
 
 def level_counts(df: DataFrame, name: str) -> DataFrame:
-    """Rows per non-null value: level (typed as the column), n."""
-    return df.where(col(name).isNotNull()).groupBy(col(name).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per non-null value: level (typed as the column), _n."""
+    return df.where(col(name).isNotNull()).groupBy(col(name).alias("level")).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def levels(df: DataFrame, name: str) -> list:
@@ -59,7 +59,7 @@ def onehot(df: DataFrame, cols: list[str], max_levels: int = 15) -> OneHotModel:
 
 @dataclass
 class LookupModel:
-    """Fitted table (level, n, code) per column; unseen and missing values get ``default``."""
+    """Fitted table (level, _n, code) per column; unseen and missing values get ``default``."""
 
     tables: dict[str, DataFrame]
     default: float
@@ -78,8 +78,8 @@ class LookupModel:
                 items = [x for k, v in self.small[name].items() for x in (F.lit(k), F.lit(v))]
                 code = F.create_map(*items)[col(name)] if items else F.lit(None)
             else:
-                side = table.select(F.col("level").alias(name), "n", F.col("code").alias("_code"))
-                df = lookup_join(df, side, [name], "n")
+                side = table.select(F.col("level").alias(name), "_n", F.col("code").alias("_code"))
+                df = lookup_join(df, side, [name], "_n")
                 code = F.col("_code")
             df = df.withColumn(out, F.coalesce(code.cast(self.kind), F.lit(self.default).cast(self.kind)))
             df = df.drop("_code")
@@ -105,7 +105,7 @@ def label(df: DataFrame, cols: list[str]) -> LookupModel:
 
     def code(counts: DataFrame, rows: int) -> DataFrame:
         ranked = running_totals(counts.withColumn("one", F.lit(1)), [], "level", ["one"], rows)
-        return ranked.select("level", "n", (F.col("cum_one") - 1).cast("int").alias("code"))
+        return ranked.select("level", "_n", (F.col("cum_one") - 1).cast("int").alias("code"))
 
     return _lookup(df, [c for c in cols if c in df.columns], code, -1, "int")
 
@@ -114,8 +114,8 @@ def frequency(df: DataFrame, cols: list[str], suffix: str = "") -> LookupModel:
     """Share of the non-missing rows that hold the value; missing and unseen are 0."""
 
     def code(counts: DataFrame, rows: int) -> DataFrame:
-        total = counts.agg(F.sum("n")).scalar()
-        return counts.select("level", "n", (F.col("n") / total).alias("code"))
+        total = counts.agg(F.sum("_n")).scalar()
+        return counts.select("level", "_n", (F.col("_n") / total).alias("code"))
 
     return _lookup(df, [c for c in cols if c in df.columns], code, 0.0, "double", suffix)
 

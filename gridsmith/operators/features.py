@@ -161,19 +161,19 @@ def aggregate_expr(value: Column, how: str) -> Column:
 
 
 def grouped(df: DataFrame, keys: list[str], value: str, funcs: list[str]) -> DataFrame:
-    """keys..., n (rows), and one column per function. NULL keys are a group."""
+    """keys..., _n (rows), and one column _<function> each. NULL keys are a group."""
     x = col(value).cast("double")
     out = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("n"), *[aggregate_expr(x, f).alias(f) for f in funcs if f != "median"]
+        F.count(F.lit(1)).alias("_n"), *[aggregate_expr(x, f).alias(f"_{f}") for f in funcs if f != "median"]
     )
     if "median" not in funcs:
         return out
     med = group_quantiles(df, keys, value, [0.5])
-    med = med.select(*[col(k).alias(f"_m_{k}") for k in keys], F.col("q")[0].alias("median"))
+    med = med.select(*[col(k).alias(f"_m_{k}") for k in keys], F.col("q")[0].alias("_median"))
     cond = F.lit(True)
     for k in keys:
         cond = cond & col(k).eqNullSafe(col(f"_m_{k}"))
-    return out.join(med, cond, "left").select(*[col(k) for k in keys], "n", *funcs)
+    return out.join(med, cond, "left").select(*[col(k) for k in keys], "_n", *[f"_{f}" for f in funcs])
 
 
 @dataclass
@@ -187,8 +187,8 @@ class GroupModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         names = {f: f"{self.target}_by_{self.group}_{f}" for f in self.funcs}
-        side = self.table.select(col(self.group), F.col("n"), *[F.col(f).alias(n) for f, n in names.items()])
-        return lookup_join(df.drop(*names.values()), side, [self.group], "n")
+        side = self.table.select(col(self.group), F.col("_n"), *[F.col(f"_{f}").alias(n) for f, n in names.items()])
+        return lookup_join(df.drop(*names.values()), side, [self.group], "_n")
 
 
 def group_features(df: DataFrame, group: str, target: str, funcs: list[str] | None = None) -> GroupModel:

@@ -77,6 +77,8 @@ def candidate_cells(queries: DataFrame, cells: Cells, want: int | None, reach: f
     """One row per query and cell that can hold one of its ``want`` nearest points,
     or a point within ``reach``."""
     pivots, sizes, radii = cells.pivots, cells.sizes, cells.radii
+    if not pivots:
+        return queries.withColumn("cell", F.lit(0)).limit(0)
 
     def expand(batches):
         import numpy as np
@@ -113,8 +115,9 @@ def block_pairs(queries: DataFrame, points: DataFrame, cells: Cells, block_rows:
     queries = materialize(queries)
     asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     at = F.col("cell") + 1
-    pbs = F.array(*[F.lit(max(1, math.ceil(n / block_rows))) for n in cells.sizes])
-    qbs = F.array(*[F.lit(max(1, math.ceil(asked.get(i, 0) / block_rows))) for i in range(len(cells.sizes))])
+    sizes = cells.sizes or [0]
+    pbs = F.array(*[F.lit(max(1, math.ceil(n / block_rows))) for n in sizes])
+    qbs = F.array(*[F.lit(max(1, math.ceil(asked.get(i, 0) / block_rows))) for i in range(len(sizes))])
     spot = lambda blocks: F.pmod(F.xxhash64("key"), F.element_at(blocks, at)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.element_at(blocks, at) - 1))
     left = queries.withColumn("qb", spot(qbs)).withColumn("pb", every(pbs))

@@ -75,8 +75,8 @@ def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     def ranked(base: DataFrame, names: list[str]) -> DataFrame:
         out = base.select(*[col(c).cast("double").alias(c) for c in names])
         for c in names:
-            ranks = average_ranks(base, c, rows).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"), "n")
-            out = lookup_join(out, ranks, [c], "n")
+            ranks = average_ranks(base, c, rows).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"), F.col("n").alias("_n"))
+            out = lookup_join(out, ranks, [c], "_n")
         return out.select(*[col(f"_rank_{c}").alias(c) for c in names])
 
     parts = []

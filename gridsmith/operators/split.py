@@ -27,14 +27,14 @@ def can_stratify(df: DataFrame, target: str) -> bool:
 def test_quotas(df: DataFrame, stratify: str, test_size: float) -> DataFrame:
     """Test rows per class that add up to ceil(n * test_size): whole parts, then the
     largest remainders. One row per class."""
-    counts = df.groupBy(col(stratify)).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = df.groupBy(col(stratify)).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     wanted = math.ceil(total * test_size)
-    exact = F.col("n") * F.lit(wanted) / F.lit(max(total, 1))
-    base = counts.withColumn("whole", F.floor(exact)).withColumn("part", exact - F.floor(exact))
-    left = F.lit(wanted) - base.agg(F.sum("whole")).scalar()
-    place = F.row_number().over(Window.orderBy(F.desc("part"), col(stratify)))
-    return base.select(col(stratify), "n", (F.col("whole") + (place <= left).cast("long")).alias("quota"))
+    exact = F.col("_n") * F.lit(wanted) / F.lit(max(total, 1))
+    base = counts.withColumn("_whole", F.floor(exact)).withColumn("_part", exact - F.floor(exact))
+    left = F.lit(wanted) - base.agg(F.sum("_whole")).scalar()
+    place = F.row_number().over(Window.orderBy(F.desc("_part"), col(stratify)))
+    return base.select(col(stratify), "_n", (F.col("_whole") + (place <= left).cast("long")).alias("_quota"))
 
 
 def assign(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:
@@ -44,9 +44,9 @@ def assign(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stra
         ranked = hash_rank(df, key, seed, name="_rn")
         return ranked.withColumn("split", F.when(F.col("_rn") <= wanted, "test").otherwise("train")).drop("_rn")
     quotas = test_quotas(df, stratify, test_size)
-    ranked = lookup_join(hash_rank(df, key, seed, [stratify], name="_rn"), quotas, [stratify], "n")
-    part = F.when(F.col("_rn") <= F.col("quota"), "test").otherwise("train")
-    return ranked.withColumn("split", part).drop("_rn", "quota")
+    ranked = lookup_join(hash_rank(df, key, seed, [stratify], name="_rn"), quotas, [stratify], "_n")
+    part = F.when(F.col("_rn") <= F.col("_quota"), "test").otherwise("train")
+    return ranked.withColumn("split", part).drop("_rn", "_quota")
 
 
 def train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> tuple[DataFrame, DataFrame]:
