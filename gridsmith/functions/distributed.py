@@ -10,9 +10,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import LIMITS, broadcast_if_small, materialize, table_bytes
-from .columns import col, is_numeric
+from .columns import col
 from .exprs import order_hash
 
 
@@ -29,18 +30,23 @@ def value_counts(df: DataFrame, cols: list[str], nulls: bool = False) -> DataFra
     are combined before the shuffle, so a value held by many rows costs one entry
     a task.
     """
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            col(c).cast("string").alias("value"),
-            (col(c).cast("double") if is_numeric(df.schema[c].dataType) else F.lit(None).cast("double")).alias("num"),
-        )
-        for c in cols
-    ]
-    long = df.select(F.inline(F.array(*cells)))
+    def cell(name: str) -> Column:
+        kind = df.schema[name].dataType
+        typed = {"l": "long", "d": "double", "s": "string"}
+        own = "l" if isinstance(kind, T.IntegralType) else "d" if isinstance(kind, T.FractionalType) else "s"
+        own = "s" if isinstance(kind, T.DecimalType) else own
+        parts = [(col(name) if k == own else F.lit(None)).cast(t).alias(k) for k, t in typed.items()]
+        return F.struct(F.lit(name).alias("column"), *parts)
+
+    # values are grouped in their own type; only the distinct ones become text
+    long = df.select(F.inline(F.array(*[cell(c) for c in cols])))
     if not nulls:
-        long = long.where(F.col("value").isNotNull())
-    return long.groupBy("column", "value", "num").agg(F.count(F.lit(1)).alias("n"))
+        long = long.where("l is not null or d is not null or s is not null")
+    counts = long.groupBy("column", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    decimals = [c for c in cols if isinstance(df.schema[c].dataType, T.DecimalType)]
+    num = F.coalesce(F.col("l").cast("double"), "d", F.when(F.col("column").isin(decimals), F.col("s").try_cast("double")))
+    text = F.coalesce(F.col("l").cast("string"), F.col("d").cast("string"), "s")
+    return counts.select("column", text.alias("value"), num.alias("num"), "n")
 
 
 def top_value() -> Column:

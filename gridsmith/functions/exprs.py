@@ -83,13 +83,17 @@ def text_length(c: Column) -> Column:
     return F.coalesce(F.length(c.cast("string")), F.lit(0))
 
 
-# Fixed value: a run of characters that Python's str.split() keeps together.
-WORD = r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# The whitespace of Python's str.split() other than a blank.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words; empty or NULL text has none."""
-    return F.coalesce(F.regexp_count(c.cast("string"), F.lit(WORD)), F.lit(0))
+    blanks = F.translate(c.cast("string"), SPACES, " " * len(SPACES))
+    return F.coalesce(F.size(F.array_remove(F.split(blanks, " "), "")), F.lit(0))
 
 
 def adjusted_skew(c: Column) -> Column:
@@ -103,11 +107,9 @@ def adjusted_skew(c: Column) -> Column:
 def pair_corr(a: Column, b: Column) -> Column:
     """Pearson correlation over rows where both sides are present; NULL when
     either side does not vary."""
-    a, b = a.cast("double"), b.cast("double")
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    # these three use only rows where both sides are present
+    spread = F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a))
+    return F.try_divide(F.regr_sxy(b, a), spread)
 
 
 def order_hash(key: Column, seed: int) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_numeric, numeric_columns, require, require_numeric
-from ..functions.distributed import group_quantiles, hash_sample, lookup_join, melt, running_totals, value_counts
+from ..functions.distributed import group_quantiles, hash_rank, hash_sample, lookup_join, melt, running_totals, value_counts
 from ..functions.exprs import order_hash
 from ..sources.tables import preview
 from . import encode, features, profile, relate
@@ -21,6 +21,8 @@ DASHBOARD_TOP = 15
 PARALLEL_ROWS = 2_000
 MATRIX_ROWS = 1_500
 MISSING_ROWS = 1_000
+# Largest rank filter that Spark applies before the shuffle.
+GROUP_LIMIT = 1_000
 
 
 def _keys(*names: str | None) -> list[str]:
@@ -165,6 +167,9 @@ def points(df: DataFrame, cols: list[str], key: str, limit: int | None = None, s
 def strip(df: DataFrame, y: str, key: str, x: str | None = None, per_group: int = 1_000, seed: int = 42) -> DataFrame:
     """Points by group, a hash sample of at most ``per_group`` each."""
     rows = df.select(*[col(c) for c in _keys(key, x, y)])
+    if per_group > GROUP_LIMIT:
+        return hash_rank(rows, key, seed, _keys(x), "_rn").where(F.col("_rn") <= per_group).drop("_rn")
+    # a map task passes on at most per_group rows of a group
     w = Window.partitionBy(*[col(k) for k in _keys(x)]).orderBy(order_hash(col(key), seed), col(key))
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_group).drop("_rn")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
@@ -103,9 +104,10 @@ def link(centres: list[list[float]], weights: list[float], k: int, linkage: str)
     return out
 
 
-def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED):
-    """The restart with the lowest cost."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors) for i in range(restarts)]
+def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 4):
+    """The restart with the lowest cost; a few are submitted at a time."""
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors), range(restarts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

@@ -21,7 +21,7 @@ from ..functions.distributed import hash_sample
 from ..session import materialize
 
 BLOCK_ROWS = 4_096
-MAX_PIVOTS = 256
+MAX_PIVOTS = 2_048
 
 
 def as_points(df: DataFrame, key: str, features: str, *carry: str) -> DataFrame:
@@ -42,7 +42,7 @@ class Cells:
 def assign_cells(points: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Cells]:
     """Adds ``cell`` to (key, x, ...) rows; written once."""
     n = points.count()
-    want = max(1, min(MAX_PIVOTS, n // block_rows))
+    want = max(1, min(MAX_PIVOTS, 4 * n // block_rows))
     found = hash_sample(points.select("key", "x"), "key", want).select("x").distinct().collect()
     pivots = [list(r[0]) for r in found]
 
@@ -162,13 +162,13 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_same_key: bool =
             d = np.sqrt(((qx[s : s + step, None, :] - px[None, :, :]) ** 2).sum(-1))
             if exclude_same_key:
                 d = np.where(keys[s : s + step, None] == pkeys[None, :], np.inf, d)
-            top = d.argsort(1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(len(d)), top.shape[1])
-            flat = top.ravel()
-            got = d[rows, flat]
-            live = np.isfinite(got)
-            part = {"key": keys[s : s + step][rows[live]], "neighbor": pkeys[flat[live]], "dist": got[live]}
-            part.update({c: p[c].to_numpy()[flat[live]] for c in carry})
+            # everything nearer than the last wanted distance, then ties in key order
+            last = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
+            closer, tied = d < last, d == last
+            keep = closer | (tied & (tied.cumsum(1) <= take - closer.sum(1, keepdims=True)))
+            row, at = np.nonzero(keep & np.isfinite(d))
+            part = {"key": keys[s : s + step][row], "neighbor": pkeys[at], "dist": d[row, at]}
+            part.update({c: p[c].to_numpy()[at] for c in carry})
             out.append(pd.DataFrame(part))
         return pd.concat(out)[names]
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,42 @@ from ..functions.exprs import pair_corr
 from ..session import LIMITS, materialize
 
 
+PAIR_SCHEMA = "position int, a string, b string, r double"
+
+
 def _pairs_frame(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Correlation of each pair in one aggregate, as rows (a, b, r)."""
-    agg = df.agg(*[pair_corr(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(i).alias("position"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return agg.select(F.inline(F.array(*cells)))
+    """Correlation of each pair over the rows where both are present: position, a, b, r.
+
+    Pairs of columns without gaps come from one correlation matrix. The others are
+    one grouped aggregate over (pair, x, y) rows, combined before the shuffle.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    if not names:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    got = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
+    whole = [c for i, c in enumerate(names) if got[i + 1] == got[0] and got[0] > 1]
+    placed = list(enumerate(pairs))
+    plain = [(i, p) for i, p in placed if p[0] in whole and p[1] in whole]
+    parts = []
+    if plain:
+        used = list(dict.fromkeys(c for _, p in plain for c in p))
+        rows = df.select(array_to_vector(F.array(*[col(c).cast("double") for c in used])).alias("x"))
+        matrix = Correlation.corr(rows, "x").first()[0].toArray()
+        at = {c: i for i, c in enumerate(used)}
+        cells = [(i, a, b, float(matrix[at[a], at[b]])) for i, (a, b) in plain]
+        cells = [(i, a, b, None if r != r else r) for i, a, b, r in cells]
+        parts.append(df.sparkSession.createDataFrame(cells, PAIR_SCHEMA))
+    rest = [(i, p) for i, p in placed if (i, p) not in plain]
+    if rest:
+        cells = [
+            F.struct(F.lit(i).alias("position"), F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
+            for i, (a, b) in rest
+        ]
+        both = F.col("x").isNotNull() & F.col("y").isNotNull()
+        x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
+        long = df.select(F.inline(F.array(*cells))).groupBy("position", "a", "b")
+        parts.append(long.agg(pair_corr(x, y).alias("r")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -77,7 +107,8 @@ def spearman(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         for c in names:
             ranks = average_ranks(base, c, rows).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"), F.col("n").alias("_n"))
             out = lookup_join(out, ranks, [c], "_n")
-        return out.select(*[col(f"_rank_{c}").alias(c) for c in names])
+        # the matrix reads its rows more than once, so the looked-up ranks are written
+        return materialize(out.select(*[col(f"_rank_{c}").alias(c) for c in names]))
 
     parts = []
     done = [p for p in pairs if p[0] in whole and p[1] in whole]

@@ -67,11 +67,22 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so later uses share the work and the
     plan starts at the written files."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/gridsmith/{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridsmith/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the tables this application wrote; call when no result reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def table_bytes(df: DataFrame) -> int:
     """Upper estimate of the size of ``df``: 16 bytes a field plus its text."""
     text = [
