@@ -111,14 +111,14 @@ def cast_numeric(spark, sf):
 
 @query(
     "cast_datetime",
-    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE epoch(o_orderdate)::BIGINT END AS seconds FROM orders",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS d FROM orders",
 )
 def cast_datetime(spark, sf):
     df = table(spark, sf, "orders").selectExpr(
         "o_orderkey", "CASE o_orderstatus WHEN 'P' THEN 'not a date' WHEN 'F' THEN date_format(o_orderdate, 'yyyy/MM/dd') "
         "ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') END AS d",
     )
-    return clean.cast_column(df, "d", "datetime").select("o_orderkey", F.unix_timestamp("d").alias("seconds"))
+    return clean.cast_column(df, "d", "datetime").select("o_orderkey", F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("d"))
 
 
 @query("cast_category", "SELECT c_custkey, c_nationkey::VARCHAR AS c_nationkey FROM customer")
@@ -519,10 +519,11 @@ def frequency_feature(spark, sf):
 # ---------------------------------------------------------------- selection and recipe
 
 
-@query("drop_collinear", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+@query("drop_collinear", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def drop_collinear(spark, sf):
-    df = table(spark, sf, "part").withColumns({"p_twice": F.col("p_size") * 2.0, "p_minus": -F.col("p_partkey")})
-    return select.drop_collinear(df, threshold=0.95)
+    df = table(spark, sf, "orders").drop("o_orderdate")
+    df = df.withColumns({"o_twice": F.col("o_totalprice") * 2.0, "o_minus": -F.col("o_custkey")})
+    return select.drop_collinear(df)
 
 
 @query("drop_zero_variance", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

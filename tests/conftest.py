@@ -12,7 +12,7 @@ os.environ.setdefault("GRIDSMITH_DRIVER_MEMORY", "8g")
 def spark():
     from gridsmith.session import local_session
 
-    return local_session("*", 8)
+    return local_session("*", 4)
 
 
 @pytest.fixture
