@@ -108,9 +108,16 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, l
     """Exact linear-interpolation quantiles of each column as driver scalars."""
     if not cols:
         return {}
-    if df.count() <= LIMITS.single_task_rows:
-        row = df.agg(*[F.percentile(col(c).cast("double"), probs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-        return {c: row[i] if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
+    rows = df.count()
+    if rows <= LIMITS.single_task_rows:
+        # sorted arrays of a counted number of cells, far cheaper than percentile()
+        width, out = max(1, _ARRAY_CELLS // max(rows, 1)), {}
+        for start in range(0, len(cols), min(width, 16)):
+            some = cols[start : start + min(width, 16)]
+            arrays = df.agg(*[F.sort_array(F.collect_list(col(c).cast("double"))).alias(f"a{i}") for i, c in enumerate(some)])
+            row = arrays.select(*[F.array(*[_at(F.col(f"a{i}"), p) for p in probs]) for i in range(len(some))]).first()
+            out |= dict(zip(some, row))
+        return out
     found = _refined_quantiles(melt(df, cols), ["column"], probs).collect()
     out = {c: [None] * len(probs) for c in cols}
     for r in found:
@@ -118,6 +125,16 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, l
     return out
 
 
+_ARRAY_CELLS = 4_000_000
+
+
+def _at(ordered: Column, p: float) -> Column:
+    """Linear interpolation in a sorted array; NULL for an empty one."""
+    spot = F.lit(float(p)) * (F.size(ordered) - 1)
+    low, high = (F.get(ordered, f(spot).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (spot - F.floor(spot))
+
+
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact quantiles of ``value`` per group: keys..., q (array). NULL keys are a group."""
     long = df.select(*[col(k) for k in keys], col(value).cast("double").alias("value"))

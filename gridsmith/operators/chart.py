@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, is_numeric, numeric_columns, require, require_numeric
 from ..functions.distributed import group_quantiles, hash_rank, hash_sample, lookup_join, melt, running_totals, value_counts
 from ..functions.exprs import order_hash
+from ..session import materialize
 from ..sources.tables import preview
 from . import encode, features, profile, relate
 
@@ -236,8 +237,9 @@ def ecdf(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
     keys = _keys(color)
     rows = df.where(col(x).isNotNull())
     counts = rows.groupBy(*[col(k) for k in keys], col(x).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = running_totals(counts, keys, "value", ["n"], df.count())
-    totals = rows.groupBy(*[col(k).alias(f"_t_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_total"))
+    counts = materialize(counts)
+    upto = running_totals(counts, keys, "value", ["n"], counts.count())
+    totals = counts.groupBy(*[col(k).alias(f"_t_{k}") for k in keys]).agg(F.sum("n").alias("_total"))
     if not keys:
         return upto.select("value", "n", (F.col("cum_n") / totals.scalar()).alias("share"))
     both = upto.join(totals, _same([col(k) for k in keys], [col(f"_t_{k}") for k in keys]))

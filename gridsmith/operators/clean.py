@@ -82,9 +82,11 @@ def cast_loss(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 @dataclass
 class Filler:
-    """Fitted replacement value per column."""
+    """Fitted replacement value per column. Columns in ``as_text`` become text first,
+    when a text constant fills a column of another type."""
 
     values: dict[str, object]
+    as_text: tuple[str, ...] = ()
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = {}
@@ -92,7 +94,9 @@ class Filler:
             if name not in df.columns or value is None:
                 continue
             kind = df.schema[name].dataType
-            if isinstance(kind, T.IntegralType) and float(value) != math.floor(float(value)):
+            if name in self.as_text:
+                out[name] = F.coalesce(col(name).cast("string"), F.lit(value))
+            elif isinstance(kind, T.IntegralType) and float(value) != math.floor(float(value)):
                 out[name] = F.coalesce(col(name).cast("double"), F.lit(float(value)))
             else:
                 out[name] = F.coalesce(col(name), F.lit(value).cast(kind))
@@ -125,7 +129,8 @@ class Imputer:
             return Filler(_modes(df, cols))
         if self.strategy == "constant":
             value = "Missing" if self.fill_value is None else self.fill_value
-            return Filler({c: (_number(value, c) if c in numeric else str(value)) for c in cols})
+            texts = tuple(c for c in other if not isinstance(df.schema[c].dataType, T.StringType))
+            return Filler({c: (_number(value, c) if c in numeric else str(value)) for c in cols}, texts)
         if self.strategy == "drop_rows":
             return RowDropper(cols)
         raise ValueError(f"unknown strategy '{self.strategy}'")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col
 from ..functions.distributed import running_totals
+from ..session import materialize
 from .encode import levels
 
 MATRIX_CLASSES = 1_000
@@ -21,7 +22,7 @@ def _cells(pred: DataFrame, label: str, prediction: str) -> DataFrame:
 def confusion(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     """Rows per (label, prediction), zero cells included; only the filled cells
     when there are more than ``MATRIX_CLASSES`` classes."""
-    cells = _cells(pred, label, prediction)
+    cells = materialize(_cells(pred, label, prediction))  # read three times, scored once
     classes = cells.select("label").union(cells.select("prediction")).distinct().toDF("label")
     if classes.count() > MATRIX_CLASSES:
         return cells
@@ -68,7 +69,8 @@ def roc(pred: DataFrame, label: str, score: str, positive=None) -> DataFrame:
     counts = pred.groupBy(col(score).cast("double").alias("threshold")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
-    curve = running_totals(counts, [], "threshold", ["pos", "neg"], pred.count(), descending=True)
+    counts = materialize(counts)  # scoring runs once, the curve reads the counts
+    curve = running_totals(counts, [], "threshold", ["pos", "neg"], counts.count(), descending=True)
     total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     p, n = total.select("p").scalar(), total.select("n").scalar()
     return curve.select(

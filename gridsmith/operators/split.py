@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..functions.distributed import hash_rank, hash_sample, lookup_join
+from ..functions.distributed import hash_rank, hash_sample, lookup_join, running_totals
 from ..session import materialize
 from .clean import drop_missing
 
@@ -28,13 +28,15 @@ def test_quotas(df: DataFrame, stratify: str, test_size: float) -> DataFrame:
     """Test rows per class that add up to ceil(n * test_size): whole parts, then the
     largest remainders. One row per class."""
     counts = df.groupBy(col(stratify)).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    total = total or 0
     wanted = math.ceil(total * test_size)
     exact = F.col("_n") * F.lit(wanted) / F.lit(max(total, 1))
     base = counts.withColumn("_whole", F.floor(exact)).withColumn("_part", exact - F.floor(exact))
     left = F.lit(wanted) - base.agg(F.sum("_whole")).scalar()
-    place = F.row_number().over(Window.orderBy(F.desc("_part"), col(stratify)))
-    return base.select(col(stratify), "_n", (F.col("_whole") + (place <= left).cast("long")).alias("_quota"))
+    base = base.withColumns({"_order": F.struct(-F.col("_part"), col(stratify)), "_one": F.lit(1)})
+    placed = running_totals(base, [], "_order", ["_one"], classes)
+    return placed.select(col(stratify), "_n", (F.col("_whole") + (F.col("cum__one") <= left).cast("long")).alias("_quota"))
 
 
 def assign(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, stratify: str | None = None) -> DataFrame:

@@ -134,6 +134,8 @@ def test_imputer_errors_and_ties(spark):
         clean.Imputer("constant", ["n"], "many").fit(df)
     with pytest.raises(ValueError):
         clean.Imputer("guess", ["n"]).fit(df)
+    flag = spark.createDataFrame([(1, True), (2, None)], "id int, f boolean")
+    assert column(clean.Imputer("constant", ["f"]).fit(flag).transform(flag), "f") == ["true", "Missing"]
     out = clean.Imputer("mode", ["s", "n"]).fit(df).transform(df)
     assert column(out, "s")[2] == "a" and column(out, "n")[2] == 1
     assert column(clean.Imputer("median", ["n"]).fit(df).transform(df), "n")[2] == 1.5
