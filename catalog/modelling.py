@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridsmith.operators import autofe, balance, chart, encode, evaluate, mlprep, neighbors, score, select, split, train
+from gridsmith.operators import autofe, balance, chart, evaluate, mlprep, neighbors, score, select, split, train
 from gridsmith.plans import experiments
 
 from .base import and_with, query, rnd, rounded, table, union, view, with_view

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, is_numeric, is_text

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import IDENTIFIER_ENDINGS, categorical_columns, col, is_datetime, is_numeric, numeric_columns
+from ..functions.columns import IDENTIFIER_ENDINGS, categorical_columns, col, is_numeric, numeric_columns
 from ..functions.distributed import quantiles, top_value, value_counts
 from ..functions.exprs import adjusted_skew
 

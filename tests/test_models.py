@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from gridsmith.operators import anomaly, autofe, balance, cluster, mlprep, score, select, split, train
+from gridsmith.operators import autofe, balance, cluster, mlprep, score, select, split, train
 
 
 @pytest.fixture(scope="module")
