@@ -211,3 +211,13 @@ def test_imputing_with_large_forms(skewed, tiny_limits):
     got = model.transform(out_df).orderBy("id").toPandas()["v"]
     v = pdf["v"].fillna(pdf["v"].median())
     assert list(got) == pytest.approx(list((v - v.median()) / (v.quantile(0.75) - v.quantile(0.25))))
+
+
+def test_intermediates_are_written_and_dropped(spark, tmp_path, monkeypatch):
+    from gridsmith import session
+
+    monkeypatch.setattr(session, "checkpoint_dir", lambda s: str(tmp_path))
+    kept = session.materialize(spark.range(5))
+    assert kept.count() == 5 and any(tmp_path.rglob("*.parquet"))
+    session.drop_intermediates(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
