@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, token_counts
-from .common import table
+from . import exact, packing, simhash, token_counts, toxicity
+from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,11 +32,21 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), piece_model())
 
 
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.groups(table(spark, sf, "documents"), shingle=3, radius=3)
+
+
 @query(
     "op9_exact_dedup",
     f"""
@@ -47,3 +57,11 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.classes(table(spark, sf, "documents"), keep=F.max)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, toxicity.trainable(table(spark, sf, "labels")))
+    scored = docs.select("doc_id", (residue("doc_id", 4) == 2).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
