@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, simhash, token_counts, toxicity
+from . import exact, fingerprints, packing, simhash, token_counts, toxicity
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose id is divisible by 50 are the queries of the near search."""
+    return fingerprints.fingerprint_edits(table(spark, sf, "documents"), asked=F.col("doc_id") % 50 == 0)
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
