@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: A key with more than one in so many rows is answered by a broadcast; at most that many keys exist.
 HOT_SHARE = 1_000
 
@@ -15,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir`` for files of this application."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridsmith/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def whole(text: str) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(text), F.lit(""))

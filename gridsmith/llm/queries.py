@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, packing, simhash, token_counts, toxicity
+from . import exact, fingerprints, packing, simhash, token_counts, toxicity, warc
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,21 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query(
+    "op5_warc",
+    f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first_id < page_id THEN first_id END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)
+    """,
+)
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), piece_model())
