@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, packing, simhash, token_counts, toxicity, warc
+from . import exact, fingerprints, katz, packing, simhash, token_counts, toxicity, warc
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op1_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf, "documents"), asked=F.col("doc_id") % 50 == 0)
 
 
+@query("op2_katz")
+def op2_katz(spark: SparkSession, sf: str) -> DataFrame:
+    return katz.score(table(spark, sf, "documents"), residue("doc_id", 7) == 2)
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
