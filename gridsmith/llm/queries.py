@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, katz, packing, simhash, token_counts, toxicity, warc
+from . import exact, fingerprints, katz, packing, pieces, simhash, token_counts, toxicity, warc
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,15 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"))
 
 
+@query("op6_piece_sampling")
+def op6_piece_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    """Three segmentations of every turn; the ids as a digest, and whether they decode to the turn."""
+    turns = table(spark, sf, "conversations")
+    drawn = pieces.encode_samples(turns, piece_model(), ["conv_id", "turn"])
+    decoded = pieces.decode(drawn, piece_model()).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return decoded.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids", "decoded")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), piece_model())
