@@ -124,7 +124,7 @@ def backoff(stats: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def blocks(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
     """Coded documents: block, keys, held, sizes, tokens (local numbers), words (hashes)."""
-    own = docs.select(F.col(key), F.coalesce(held, F.lit(False)).alias("_held"), whole(text).alias("_text"))
+    own = docs.select(F.col(key).cast("string"), F.coalesce(held, F.lit(False)).alias("_held"), whole(text).alias("_text"))
     kind = own.schema[0].dataType
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())),
@@ -348,8 +348,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     """
     coded = materialize(blocks(docs, key, text, held))
     buckets = max(1, ceil((coded.agg(F.sum("n")).first()[0] or 0) / BUCKET_TOKENS))
-    names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kinds = [coded.schema["keys"].dataType.elementType, T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
+    names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = [T.StringType(), T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
 
     asked = coded.mapInArrow(_ask_words(buckets), "bucket int, block long, a binary, b binary")
@@ -365,4 +365,5 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     hot = {r[0]: list(r[1:]) for r in parts.collect()}  # at most HOT_SHARE first words and the start
     answers = to_blocks.unionByName(pairs.where("kind = 2"))
     scored = _score(model, discounts([x or 0.0 for x in sums]), hot, buckets, names)
-    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
+    out = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
+    return out.select(F.col("key").cast(docs.schema[key].dataType).alias(key), *names[1:])

@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, whole
 
-#: Mean documents of a lot, and of how many lots one task takes care.
-LOT_DOCS, TASK_LOTS = 4_000, 1
+#: Mean documents of a lot.
+LOT_DOCS = 4_000
 
 
 def word_count(text: str) -> Column:
@@ -113,15 +113,15 @@ def pack(
     """
     lots = max(1, ceil(docs.count() / lot_docs))
     own = docs.select(
-        F.col(key).alias("key"),
+        F.col(key).cast("string").alias("key"),
         F.col(source).cast("string").alias("source"),
         (text_cluster(text) if cluster is None else cluster.cast("string")).alias("cluster"),
         (word_count(text) if size is None else size).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), whole(text))).alias("digest"),
     ).withColumn("lot", F.pmod(F.xxhash64("digest"), F.lit(lots)).cast("long"))
     schema = T.StructType([
-        T.StructField("key", docs.schema[key].dataType), T.StructField("piece", T.LongType()), T.StructField("n_words", T.LongType()),
+        T.StructField("key", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("bin_id", T.LongType()), T.StructField("bin_words", T.LongType()),
     ])
     placed = own.groupBy("lot").applyInPandas(_pack(capacity), schema)
-    return placed.select(F.col("key").alias(key), "piece", (F.col("piece") * capacity).alias("begin"), "n_words", "bin_id", "bin_words")
+    return placed.select(F.col("key").cast(docs.schema[key].dataType).alias(key), "piece", (F.col("piece") * capacity).alias("begin"), "n_words", "bin_id", "bin_words")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, katz, packing, pieces, simhash, token_counts, toxicity, warc
+from . import exact, fingerprints, katz, licences, packing, pieces, simhash, token_counts, toxicity, warc
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,47 @@ def op2_katz(spark: SparkSession, sf: str) -> DataFrame:
     return katz.score(table(spark, sf, "documents"), residue("doc_id", 7) == 2)
 
 
+#: Where the query puts a document in a tree; some documents take the place of licence files.
+FILE_PATH = """concat(coalesce(source, '_'), '/', coalesce(lang, '_'), '/', CAST(floor(doc_id / 1000) AS BIGINT), '/',
+    CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE'
+    ELSE concat(CAST(floor(doc_id / 100) AS BIGINT), '/', CASE WHEN doc_id % 100 = 50 THEN 'LICENSE' ELSE concat(doc_id, '.txt') END) END)"""
+
+
+def _licence_sql() -> str:
+    weights, idf, rare = licences.vectors()
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+    return rf"""
+    WITH RECURSIVE idf(term, idf) AS (VALUES {values(idf)}), vec(template, licence, term, share) AS (VALUES {values(weights)}),
+    files AS (SELECT doc_id, {FILE_PATH} AS path, coalesce(text, '') AS text FROM documents),
+    lines AS (SELECT path, unnest(string_split(text, chr(10))) AS unit FROM files WHERE regexp_matches(text, '{licences.CUE}')),
+    units AS (SELECT path, 'header' AS origin, unit FROM lines WHERE regexp_matches(unit, '{licences.CUE}')
+        UNION SELECT path, 'file', text FROM files WHERE regexp_matches(path, '{licences.FILE_NAME}')),
+    terms AS (SELECT unit, unnest(regexp_extract_all(lower(unit), '{licences.TERM}')) AS term FROM (SELECT DISTINCT unit FROM units)),
+    counts AS (SELECT unit, term, count(*) * coalesce(any_value(idf), {rare!r}::DOUBLE) AS weight FROM terms LEFT JOIN idf USING (term) GROUP BY unit, term),
+    norms AS (SELECT unit, sqrt(sum(weight * weight)) AS norm FROM counts GROUP BY unit),
+    dots AS (SELECT unit, template, licence, sum(weight * share) AS dot FROM counts JOIN vec USING (term) GROUP BY unit, template, licence),
+    hits AS (SELECT unit, licence, round(dot / norm, 6) AS similarity FROM dots JOIN norms USING (unit) WHERE round(dot / norm, 6) >= {licences.LEAST}),
+    own AS (SELECT path, origin, licence, similarity FROM units JOIN hits USING (unit)
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY similarity DESC, origin, licence) = 1),
+    holders AS (SELECT regexp_replace(path, '(^|/)[^/]*$', '') AS dir, path, licence, similarity FROM own WHERE regexp_matches(path, '{licences.FILE_NAME}')
+        QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path, licence) = 1),
+    climb(path, dir) AS (SELECT path, regexp_replace(path, '(^|/)[^/]*$', '') FROM files
+        UNION SELECT path, regexp_replace(dir, '(^|/)[^/]*$', '') FROM climb WHERE dir <> ''),
+    up AS (SELECT c.path, h.path AS up_path, h.licence, h.similarity FROM climb c JOIN holders h USING (dir)
+        QUALIFY row_number() OVER (PARTITION BY c.path ORDER BY length(dir) DESC) = 1)
+    SELECT doc_id, f.path, coalesce(o.licence, u.licence) AS licence, coalesce(o.similarity, u.similarity) AS similarity,
+        CASE WHEN o.path IS NOT NULL THEN o.origin WHEN u.path IS NOT NULL THEN 'inherited' END AS origin,
+        CASE WHEN o.path IS NOT NULL THEN f.path ELSE u.up_path END AS licence_path
+    FROM files f LEFT JOIN own o ON o.path = f.path LEFT JOIN up u ON u.path = f.path
+    """
+
+
+@query("op3_licence_scan", _licence_sql())
+def op3_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "documents").select("doc_id", "text", F.expr(FILE_PATH).alias("path"))
+    return licences.scan(files, keep=("doc_id",))
+
+
 @query("op4_best_fit_packing")
 def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))

@@ -12,8 +12,7 @@ stay with their shard in one task; only links of a spanning forest leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import ceil, comb
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.graph import components
 from ..session import materialize
+from .blocks import layout, signed
 from .common import spread_join, whole
 
 #: Fingerprints of one shard that a task compares at once; larger shards are compared in pairs of pieces.
@@ -67,26 +67,6 @@ def hex_of(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def layout(total: int, radius: int) -> list[int]:
-    """Masks of the shards: for the number of blocks with the least work for ``total``
-    fingerprints, one mask for every choice of ``blocks - radius`` blocks."""
-    best = None
-    for blocks in range(radius + 1, min(64, 2 * radius + 8) + 1):
-        width = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-        bits = sum(sorted(width)[: blocks - radius])
-        work = comb(blocks, radius) * (1 + total / 2**bits / 8)
-        if best is None or work < best[0]:
-            best = work, width
-    width = best[1]
-    begin = np.cumsum([0, *width])
-    parts = [((1 << w) - 1) << int(b) for w, b in zip(width, begin)]
-    return [sum(chosen) for chosen in combinations(parts, len(parts) - radius)]
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 class Forest:
     """Trees of groups of distinct fingerprints, built level by level.
 
@@ -170,7 +150,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     fingerprints within ``radius`` bits are connected by links."""
     total = prints.count()
     masks = layout(total, radius)
-    dealt = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for i, m in enumerate(masks)])).alias("shard"))
+    dealt = prints.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long"))) for i, m in enumerate(masks)])).alias("shard"))
     large = dealt.groupBy("shard").count().where(F.col("count") > PIECE)
     large = large.select("shard", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     dealt = dealt.join(large, "shard", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
