@@ -57,41 +57,48 @@ class Lattice:
                     total += weight
                     found.append((weight, begin, hit[0]))
             found.sort(reverse=True)
-            self.edges[end] = tuple((w / total, b, ids) for w, b, ids in found)
+            # the share of the other edges is summed, as 1 - share would lose small ones
+            others = [sum(x[0] for j, x in enumerate(found) if j != i) / total for i in range(len(found))]
+            self.edges[end] = tuple((w / total, b, ids, o) for (w, b, ids), o in zip(found, others))
             sums[end] = total
             if not 1e-200 < total < 1e200:  # only ratios within a piece's reach matter
                 for i in range(max(0, end - longest), end + 1):
                     sums[i] /= total
 
-    def draw(self, rng, at: int | None = None) -> tuple[tuple[int, ...], bytes, float]:
-        """Path (places from ``at`` back to the start), ids and probability."""
-        at, chance, path, out = self.size if at is None else at, 1.0, [], []
+    def draw(self, rng, at: int | None = None) -> tuple[tuple[int, ...], bytes, float, float]:
+        """Path (places from ``at`` back to the start), ids, probability, and that of all
+        other paths."""
+        at, chance, other, path, out = self.size if at is None else at, 1.0, 0.0, [], []
         while at:
             edges = self.edges[at]
             if len(edges) == 1:
-                _, at, ids = edges[0]
+                _, at, ids, _ = edges[0]
             else:
                 u = rng()
-                for p, begin, ids in edges:
+                for p, begin, ids, rest in edges:
                     u -= p
                     if u < 0:
                         break
+                other += chance * rest
                 chance *= p
                 at = begin
             path.append(at)
             out.append(ids)
         out.reverse()
-        return tuple(path), b"".join(out), chance
-
-    def chance(self, path: tuple[int, ...], at: int | None = None) -> float:
-        """Probability of the path from ``at``."""
-        at, chance = self.size if at is None else at, 1.0
-        for begin in path:
-            chance *= next(p for p, b, _ in self.edges[at] if b == begin)
-            at = begin
-        return chance
-
-    def draw_other(self, rng, taken: frozenset) -> tuple[tuple[int, ...], bytes, float] | None:
+        return tuple(path), b"".join(out), chance, other
+
+    def other(self, taken: list[tuple[int, ...]], at: int | None = None) -> float:
+        """Probability of the paths from ``at`` outside ``taken``."""
+        todo, total = [(1.0, self.size if at is None else at, 0, list(taken))], 0.0
+        while todo:
+            chance, at, depth, live = todo.pop()
+            if not live:
+                total += chance
+            elif at:
+                todo += [(chance * p, begin, depth + 1, [t for t in live if t[depth] == begin]) for p, begin, _, _ in self.edges[at]]
+        return total
+
+    def draw_other(self, rng, taken: frozenset) -> tuple[tuple[int, ...], bytes, float, float] | None:
         """As ``draw`` among the paths outside ``taken``; None if there is no other.
 
         As long as a taken path runs along, an edge is drawn by its mass without the
@@ -99,9 +106,8 @@ class Lattice:
         at, chance, path, out, live = self.size, 1.0, [], [], list(taken)
         while at and live:
             left = []
-            for p, begin, ids in self.edges[at]:
-                gone = sum(self.chance(t[1:], begin) for t in live if t[0] == begin)
-                left.append((p * (1 - gone) if gone < 1 - 1e-14 else 0.0, p, begin, ids))
+            for p, begin, ids, _ in self.edges[at]:
+                left.append((p * self.other([t[1:] for t in live if t[0] == begin], begin), p, begin, ids))
             u = rng() * sum(x[0] for x in left)
             if not sum(x[0] for x in left):
                 return None
@@ -117,7 +123,8 @@ class Lattice:
             out.append(ids)
         out.reverse()
         rest = self.draw(rng, at)
-        return (*path, *rest[0]), rest[1] + b"".join(out), chance * rest[2]
+        path = (*path, *rest[0])
+        return path, rest[1] + b"".join(out), chance * rest[2], self.other([*taken, path])
 
 
 def below(mass: np.ndarray, limit: float, noise: np.ndarray) -> np.ndarray:
@@ -147,16 +154,14 @@ def sample(chain: list[Lattice], k: int, seed: int) -> list[tuple[float, float,
             if first is None:
                 continue
             drawn = [first, *(x.draw(draw) for x in chain[place + 1 :])]
-        full = (*path, *(ids for _, ids, _ in drawn))
-        logs = np.log(np.array([p for _, _, p in drawn])) if drawn else np.zeros(0)
+        full = (*path, *(x[1] for x in drawn))
+        logs = np.log(np.array([x[2] for x in drawn])) if drawn else np.zeros(0)
         before = prefix + np.concatenate([[0.0], np.cumsum(logs)])
         out.append((value, float(before[-1]), b"".join(full)))
         if not drawn:
             continue
-        gone = np.array([p for _, _, p in drawn])
-        gone[0] += sum(chain[place].chance(t) for t in taken)
         with np.errstate(divide="ignore"):
-            mass = before[:-1] + np.log(np.where(gone < 1 - 1e-14, 1 - gone, 0.0))
+            mass = before[:-1] + np.log(np.array([x[3] for x in drawn]))
         values = below(mass, value, noise.standard_exponential(len(mass)))
         for j in heapq.nlargest(k + 1 - len(out), np.flatnonzero(np.isfinite(mass)).tolist(), key=values.__getitem__):
             order += 1
