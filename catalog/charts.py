@@ -169,10 +169,10 @@ def chart_trend(spark, sf):
 
 @query(
     "chart_scatter",
-    with_view("ev", f"SELECT event_id, user_id, value FROM ev WHERE value IS NOT NULL ORDER BY {MD5.format(k='event_id')}, event_id LIMIT 5000"),
+    with_view("ev", "SELECT event_id, user_id, value FROM ev WHERE value IS NOT NULL"),
 )
 def chart_scatter(spark, sf):
-    return chart.points(view(spark, sf, "ev"), ["user_id", "value"], "event_id", 5_000)
+    return chart.points(view(spark, sf, "ev"), ["user_id", "value"], "event_id")
 
 
 @query("chart_bubble", with_view("pa", "SELECT p_partkey, p_size, p_retailprice, p_brand FROM pa WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL"))
@@ -231,7 +231,7 @@ def chart_pivot_median(spark, sf):
     "SELECT c_mktsegment AS \"row\", c_custkey::VARCHAR AS \"column\", round(sum(c_acctbal), 4) AS value FROM customer GROUP BY 1, 2",
 )
 def chart_pivot_long(spark, sf):
-    return rounded(chart.pivot(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "c_acctbal", "sum", max_columns=100), 4)
+    return rounded(chart.pivot(table(spark, sf, "customer"), "c_mktsegment", "c_custkey", "c_acctbal", "sum", form="long"), 4)
 
 
 @query(
@@ -254,7 +254,7 @@ def chart_hierarchy_sum(spark, sf):
 
 @query(
     "chart_strip",
-    f"SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {MD5.format(k='event_id')}, event_id) AS rn FROM events) WHERE rn <= 1000",
+    "SELECT event_id, event_type, value FROM events",
 )
 def chart_strip(spark, sf):
     return chart.strip(table(spark, sf, "events"), "value", "event_id", "event_type")
@@ -283,7 +283,7 @@ def chart_ecdf_whole(spark, sf):
     with_view("ev", f"SELECT event_id, user_id, value FROM ev WHERE value IS NOT NULL ORDER BY {MD5.format(k='event_id')}, event_id LIMIT 2000"),
 )
 def chart_parallel(spark, sf):
-    return chart.parallel_coordinates(view(spark, sf, "ev"), ["user_id", "value"], "event_id")
+    return chart.parallel_coordinates(view(spark, sf, "ev"), ["user_id", "value"], "event_id", 2_000)
 
 
 @query(
@@ -291,7 +291,7 @@ def chart_parallel(spark, sf):
     f"SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders ORDER BY {MD5.format(k='o_orderkey')}, o_orderkey LIMIT 1500",
 )
 def chart_scatter_matrix(spark, sf):
-    return chart.scatter_matrix(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"], "o_orderkey", color="o_orderstatus")
+    return chart.scatter_matrix(table(spark, sf, "orders"), ["o_custkey", "o_totalprice"], "o_orderkey", 1_500, color="o_orderstatus")
 
 
 @query(
@@ -304,7 +304,7 @@ def chart_scatter_matrix(spark, sf):
     ),
 )
 def chart_missing_matrix(spark, sf):
-    return chart.missing_matrix(view(spark, sf, "od"), "o_orderkey")
+    return chart.missing_matrix(view(spark, sf, "od"), "o_orderkey", 1_000)
 
 
 @query(

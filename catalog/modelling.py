@@ -84,7 +84,7 @@ def folds_plain(spark, sf):
 
 @query(
     "folds_stratified",
-    f"SELECT o_orderkey, o_orderstatus, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {H}, o_orderkey) - 1) % 5)::INTEGER AS fold FROM orders",
+    f"SELECT o_orderkey, o_orderstatus, ((row_number() OVER (ORDER BY o_orderstatus, {H}, o_orderkey) - 1) % 5)::INTEGER AS fold FROM orders",
 )
 def folds_stratified(spark, sf):
     return split.folds(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 5, stratify="o_orderstatus")

@@ -141,7 +141,7 @@ def score_dbscan_reach(spark, sf):
 @query("score_dbscan")
 def score_dbscan(spark, sf):
     df, b = _fit(spark, sf, cluster.DBSCAN, eps=0.5, min_samples=5)
-    return b.score(df, "c_custkey")
+    return score.unsupervised(b, df, "c_custkey")
 
 
 @query(

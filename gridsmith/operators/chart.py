@@ -15,13 +15,12 @@ from ..session import materialize
 from ..sources.tables import preview
 from . import encode, features, profile, relate
 
-# Default bins and categories, and the row caps of drawn samples.
+# Default bins and categories.
 BINS = 35
 TOP = 25
 DASHBOARD_TOP = 15
-PARALLEL_ROWS = 2_000
-MATRIX_ROWS = 1_500
-MISSING_ROWS = 1_000
+# Columns up to which a pivot is made wide.
+PIVOT_COLUMNS = 200
 # Largest rank filter that Spark applies before the shuffle.
 GROUP_LIMIT = 1_000
 
@@ -113,11 +112,23 @@ def box_outliers(df: DataFrame, y: str, x: str | None = None, color: str | None
     return out.select(*[col(k) for k in keys if k != "_all"], v.alias("value"))
 
 
-def violin(df: DataFrame, y: str, x: str, bins: int = BINS) -> DataFrame:
-    """Density bins of each group with the group's quartiles."""
-    rows = df.where(col(x).isNotNull() & col(y).isNotNull())
-    q = _quartiles(rows.select(col(x), col(y).cast("double").alias("_y")), "_y", [x])
-    return density(rows, y, bins, color=x).join(q.select(col(x), "q1", "median", "q3"), x)
+def violin(df: DataFrame, y: str, x: str | None = None, bins: int = BINS, color: str | None = None, facet: str | None = None) -> DataFrame:
+    """Density bins with quartiles, of the whole table or of each group, color and facet;
+    rows without one of them are left out."""
+    keys = _keys(x, color, facet)
+    rows = df.where(col(y).isNotNull())
+    for k in keys:
+        rows = rows.where(col(k).isNotNull())
+    if not keys:
+        rows, keys = rows.withColumn("_all", F.lit("all")), ["_all"]
+    group = keys[0] if len(keys) == 1 else "_group"
+    if len(keys) > 1:
+        rows = rows.withColumn("_group", F.struct(*[col(k) for k in keys]))
+    q = _quartiles(rows.select(col(group), col(y).cast("double").alias("_y")), "_y", [group])
+    out = density(rows, y, bins, color=group).join(q.select(col(group), "q1", "median", "q3"), group)
+    if len(keys) > 1:
+        return out.select(*[F.col("_group")[k].alias(k) for k in keys], *[c for c in out.columns if c != "_group"])
+    return out.drop("_all")
 
 
 def bar(df: DataFrame, x: str, y: str | None = None, agg: str = "mean", color: str | None = None, top_n: int = TOP, by_value: bool = False) -> DataFrame:
@@ -165,9 +176,11 @@ def points(df: DataFrame, cols: list[str], key: str, limit: int | None = None, s
     return rows if limit is None else hash_sample(rows, key, limit, seed)
 
 
-def strip(df: DataFrame, y: str, key: str, x: str | None = None, per_group: int = 1_000, seed: int = 42) -> DataFrame:
-    """Points by group, a hash sample of at most ``per_group`` each."""
-    rows = df.select(*[col(c) for c in _keys(key, x, y)])
+def strip(df: DataFrame, y: str, key: str, x: str | None = None, per_group: int | None = None, seed: int = 42, color: str | None = None) -> DataFrame:
+    """Points by group: all rows, or a hash sample of at most ``per_group`` each."""
+    rows = df.select(*[col(c) for c in _keys(key, x, y, color)])
+    if per_group is None:
+        return rows
     if per_group > GROUP_LIMIT:
         return hash_rank(rows, key, seed, _keys(x), "_rn").where(F.col("_rn") <= per_group).drop("_rn")
     # a map task passes on at most per_group rows of a group
@@ -175,13 +188,15 @@ def strip(df: DataFrame, y: str, key: str, x: str | None = None, per_group: int
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_group).drop("_rn")
 
 
-def parallel_coordinates(df: DataFrame, cols: list[str], key: str, limit: int = PARALLEL_ROWS, seed: int = 42) -> DataFrame:
+def parallel_coordinates(df: DataFrame, cols: list[str], key: str, limit: int | None = None, seed: int = 42) -> DataFrame:
+    """Complete rows over ``cols``, all or a hash sample of at most ``limit``."""
     if len(cols) < 2:
         raise ValueError("needs at least two columns")
     return points(df, cols, key, limit, seed)
 
 
-def scatter_matrix(df: DataFrame, cols: list[str], key: str, limit: int = MATRIX_ROWS, seed: int = 42, color: str | None = None) -> DataFrame:
+def scatter_matrix(df: DataFrame, cols: list[str], key: str, limit: int | None = None, seed: int = 42, color: str | None = None) -> DataFrame:
+    """Complete rows over ``cols``, all or a hash sample of at most ``limit``."""
     if len(cols) < 2:
         raise ValueError("needs at least two columns")
     return points(df, cols, key, limit, seed, extra=_keys(color))
@@ -208,15 +223,20 @@ def series(df: DataFrame, x: str, y: str, color: str | None = None, buckets: int
 corr = relate.corr
 
 
-def pivot(df: DataFrame, row: str, column: str, value: str, agg: str = "mean", max_columns: int = 200) -> DataFrame:
-    """Aggregate by row and column value, empty cells 0; long form when wider than ``max_columns``."""
+def pivot(df: DataFrame, row: str, column: str, value: str, agg: str = "mean", form: str = "wide") -> DataFrame:
+    """Aggregate by row and column value: a ``wide`` table with empty cells 0, of at most
+    ``PIVOT_COLUMNS`` columns, or the filled cells of any number in ``long`` form."""
+    if form not in ("wide", "long"):
+        raise ValueError(f"unknown form '{form}'")
     cells = features.grouped(df.where(col(row).isNotNull() & col(column).isNotNull()), [row, column], value, [agg])
     cells = cells.where(F.col(f"_{agg}").isNotNull()).select(
         col(row).alias("row"), col(column).cast("string").alias("column"), F.col(f"_{agg}").cast("double").alias("value")
     )
-    names = encode.levels(cells, "column") if profile.distinct_counts(df, [column])[column] <= max_columns else None
-    if names is None:
+    if form == "long":
         return cells
+    if profile.distinct_counts(df, [column])[column] > PIVOT_COLUMNS:
+        raise ValueError(f"more than {PIVOT_COLUMNS} columns: use form='long'")
+    names = encode.levels(cells, "column")
     return cells.groupBy("row").pivot("column", names).agg(F.first("value")).na.fill(0.0)
 
 
@@ -246,9 +266,9 @@ def ecdf(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
     return both.select(*[col(k) for k in keys], "value", "n", (F.col("cum_n") / F.col("_total")).alias("share"))
 
 
-def missing_matrix(df: DataFrame, key: str, limit: int = MISSING_ROWS) -> DataFrame:
-    """0/1 missing flags of the first rows by key."""
-    first = preview(df, key, limit)
+def missing_matrix(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """0/1 missing flags of all rows, or of the first ``limit`` by key."""
+    first = df if limit is None else preview(df, key, limit)
     return first.select(col(key).alias("_key"), *[col(c).isNull().cast("int").alias(c) for c in df.columns if c != key])
 
 

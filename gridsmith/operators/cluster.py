@@ -25,9 +25,8 @@ ISOLATION = "Isolation Forest (Anomaly Detection)"
 ALGORITHMS = [KMEANS, AGGLOMERATIVE, DBSCAN, ISOLATION]
 # Restarts, seed, fewest rows.
 RESTARTS, SEED, LEAST_ROWS = 10, 42, 5
-# Centres that the linkage step merges, and rows up to which the silhouette
-# compares every pair of rows.
-MICRO, SILHOUETTE_ROWS = 500, 20_000
+# Centres that the linkage step merges unless the caller says otherwise.
+MICRO = 500
 LINKAGES = ("ward", "complete", "average", "single")
 
 
@@ -127,18 +126,22 @@ def pca_2d(vectors: DataFrame) -> DataFrame:
 
 
 def silhouette(rows: DataFrame, cluster: str = "_cluster") -> float | None:
-    """Mean silhouette; noise (-1) is left out and fewer than two clusters give None.
+    """Mean silhouette on squared distances, in one pass over all rows from the means of
+    the clusters; noise (-1) is left out and fewer than two clusters give None."""
+    rows = materialize(rows.where(col(cluster) != -1).select("features", col(cluster).cast("int").alias("c")))
+    if rows.agg(F.min("c") == F.max("c")).first()[0] in (None, True):
+        return None
+    return ClusteringEvaluator(predictionCol="c").evaluate(rows)
+
 
-    Up to ``SILHOUETTE_ROWS`` rows: exact Euclidean, every row against every block
-    of rows, a block returning one sum a cluster. Beyond: MLlib's linear-time form
-    on squared distances, over all rows.
-    """
+def silhouette_euclidean(rows: DataFrame, cluster: str = "_cluster") -> float | None:
+    """Mean silhouette on Euclidean distances, for tables on which the work of comparing
+    all rows is wanted: it grows with the square of their number. Every row meets every
+    block of rows, a block returning one sum a cluster."""
     rows = materialize(rows.where(col(cluster) != -1).select("_key", "features", col(cluster).cast("int").alias("c")))
     sizes = {r["c"]: r["count"] for r in rows.groupBy("c").count().collect()}
     if len(sizes) < 2:
         return None
-    if sum(sizes.values()) > SILHOUETTE_ROWS:
-        return ClusteringEvaluator(predictionCol="c").evaluate(rows)
     block = 2_000
     parts = max(1, -(-sum(sizes.values()) // block))
     pts = rows.select(F.col("_key").alias("key"), vector_to_array("features").alias("x"), "c")
@@ -231,7 +234,7 @@ def fit(df: DataFrame, features: list[str] | None, key: str, algorithm: str = KM
         model = [list(map(float, c)) for c in best.clusterCenters()]
         rows = best.transform(vectors).withColumnRenamed("prediction", "_cluster")
     elif algorithm == AGGLOMERATIVE:
-        rows = _agglomerate(vectors, int(params.get("n_clusters", 3)), params.get("linkage", "ward"))
+        rows = _agglomerate(vectors, int(params.get("n_clusters", 3)), params.get("linkage", "ward"), int(params.get("micro", MICRO)))
     elif algorithm == DBSCAN:
         params = {"eps": float(params.get("eps", 0.5)), "min_samples": int(params.get("min_samples", 5))}
         done = density.label(as_points(vectors, "_key", "features"), params["eps"], params["min_samples"])
@@ -271,16 +274,17 @@ def label_counts(assigned: DataFrame, label: str = "Cluster") -> DataFrame:
     return assigned.groupBy(col(label).cast("string").alias("Label")).agg(F.count(F.lit(1)).alias("Count"))
 
 
-def _agglomerate(vectors: DataFrame, k: int, linkage: str) -> DataFrame:
-    """Merge at most ``MICRO`` weighted centres: the distinct rows themselves when
-    they are so few (then the result is exact), else k-means centres."""
+def _agglomerate(vectors: DataFrame, k: int, linkage: str, micro: int = MICRO) -> DataFrame:
+    """Merge at most ``micro`` weighted centres that leave the least squared distance to
+    the rows: found by k-means, or with distance zero the distinct rows themselves when
+    there are no more of them. More centres come closer to the linkage of all rows."""
     x = vector_to_array("features")
-    few = vectors.select(x.alias("x")).distinct().limit(MICRO + 1).count() <= MICRO
+    few = vectors.select(x.alias("x")).distinct().limit(micro + 1).count() <= micro
     if few:
         groups = vectors.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first")).orderBy("first").collect()
         centres = [list(r["x"]) for r in groups]
     else:
-        centres = [list(map(float, c)) for c in KMeans(k=MICRO, seed=SEED).fit(vectors).clusterCenters()]
+        centres = [list(map(float, c)) for c in KMeans(k=micro, seed=SEED).fit(vectors).clusterCenters()]
     rows = vectors.withColumn("_micro", nearest_of_many(centres)(x))
     sizes = {r["_micro"]: r["count"] for r in rows.groupBy("_micro").count().collect()}
     used = sorted(sizes)

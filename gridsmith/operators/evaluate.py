@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, is_numeric
 from ..functions.distributed import running_totals
 from ..session import materialize
 from .encode import levels
 
+# Classes up to which a matrix with its zero cells is made.
 MATRIX_CLASSES = 1_000
 
 
+def _name(pred: DataFrame, name: str, both_numeric: bool) -> Column:
+    """Class as text. Two numeric columns are compared by value: 1 and 1.0 are one class."""
+    if not both_numeric:
+        return col(name).cast("string")
+    v = col(name).cast("double")
+    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
 def _cells(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    return pred.groupBy(col(label).cast("string").alias("label"), col(prediction).cast("string").alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    kinds = [pred.schema[c].dataType for c in (label, prediction)]
+    by_value = kinds[0] != kinds[1] and all(is_numeric(k) for k in kinds)
+    names = [_name(pred, label, by_value).alias("label"), _name(pred, prediction, by_value).alias("prediction")]
+    return pred.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion(pred: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Rows per (label, prediction), zero cells included; only the filled cells
-    when there are more than ``MATRIX_CLASSES`` classes."""
+def confusion(pred: DataFrame, label: str, prediction: str, filled_only: bool = False) -> DataFrame:
+    """Rows per (label, prediction), zero cells included unless ``filled_only``.
+
+    The zero cells of more than ``MATRIX_CLASSES`` classes are refused: ask for the
+    filled ones.
+    """
+    if filled_only:
+        return _cells(pred, label, prediction)
     cells = materialize(_cells(pred, label, prediction))  # read three times, scored once
     classes = cells.select("label").union(cells.select("prediction")).distinct().toDF("label")
     if classes.count() > MATRIX_CLASSES:
-        return cells
+        raise ValueError(f"more than {MATRIX_CLASSES} classes: use filled_only=True")
     names = levels(classes, "label")
     spine = classes.withColumn("prediction", F.explode(F.array(*[F.lit(v) for v in names])))
     return spine.join(cells, ["label", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

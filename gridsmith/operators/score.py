@@ -15,9 +15,10 @@ def supervised(bundle: ModelBundle, df: DataFrame, key: str | None = None) -> Da
     return bundle.score(df, key)
 
 
-def unsupervised(bundle, df: DataFrame) -> DataFrame:
-    """Input columns plus ``Cluster``, or ``Anomaly_Label`` and ``Anomaly_Score``."""
-    return bundle.score(df)
+def unsupervised(bundle, df: DataFrame, key: str | None = None) -> DataFrame:
+    """Input columns plus ``Cluster``, or ``Anomaly_Label`` and ``Anomaly_Score``.
+    Density clusters need the ``key`` that names a row."""
+    return bundle.score(df, key)
 
 
 def check_columns(df: DataFrame, features: list[str]) -> list[str]:

@@ -242,22 +242,26 @@ CV_NAME = {CLASSIFICATION: "CV Accuracy", REGRESSION: "CV R2"}
 
 def cross_validate(df: DataFrame, target: str, key: str, features: list[str], task: str, labels: Labels,
                    names: list[str], k: int, seed: int = 42, strategy: str = "none") -> dict[str, float]:
-    """Mean main score over the folds; preparation and balancing are refitted in
-    each fold on its training part, once for all models."""
+    """Mean main score over the folds that hold rows; preparation and balancing are
+    refitted in each fold on its training part, once for all models."""
     stratify = target if task == CLASSIFICATION and split.can_stratify(df, target) else None
     rows = materialize(split.folds(df, key, k, seed, stratify))
-    totals = dict.fromkeys(names, 0.0)
+    totals: dict[str, list[float]] = {name: [] for name in names}
     for f in range(k):
         inner, held = rows.where(F.col("fold") != f).drop("fold"), rows.where(F.col("fold") == f).drop("fold")
         prep = mlprep.build(inner, features)
         fit_rows = materialize(_vectors(prep, labels, inner, key))
         test_rows = materialize(_vectors(prep, labels, held, key))
-        fit_rows, _ = balance.apply(fit_rows, "label", strategy, KEY, seed)
+        fit_rows, report = balance.apply(fit_rows, "label", strategy, KEY, seed)
+        if report is not None:
+            fit_rows = materialize(fit_rows)
         makers = catalogue(task, len(labels.classes), fit_rows.count(), seed)
         for name in names:
             pred = makers[name]().fit(fit_rows).transform(test_rows)
-            totals[name] += _score(task, pred)[MAIN[task]]
-    return {name: total / k for name, total in totals.items()}
+            found = _score(task, pred)[MAIN[task]]
+            if found is not None:
+                totals[name].append(found)
+    return {name: sum(scores) / len(scores) if scores else None for name, scores in totals.items()}
 
 
 def benchmark(df: DataFrame, target: str, key: str, models: list[str] | None = None, test_size: float = 0.2, cv_folds: int = 5,

@@ -15,11 +15,24 @@ MISSING_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+GRAMMAR = {
+    "bigint": r"^\s*[+-]?\d+\s*$",
+    "double": r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$",
+    "boolean": r"^(TRUE|True|true|FALSE|False|false)$",
+}
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header line. Types are inferred only when no schema is given;
-    every missing text becomes NULL."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    every missing text becomes NULL.
+
+    Files are split between tasks unless a quoted cell holds a line break: one pass
+    over the lines finds those by their odd number of quotes, and then each file is
+    read by one task.
+    """
+    lines = spark.read.text(path).select(F.regexp_count("value", F.lit('"')).alias("n"))
+    broken = not lines.where("n % 2 = 1").isEmpty()
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", broken)
     if schema is not None:
         wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
@@ -34,10 +47,15 @@ def blank_to_null(df: DataFrame) -> DataFrame:
 
 
 def _infer(raw: DataFrame) -> DataFrame:
-    """Narrowest of bigint, double, boolean, string that keeps every value: one aggregate."""
-    kinds = ("bigint", "double", "boolean")
+    """Narrowest of bigint, double, boolean, string that keeps every value: one aggregate.
+
+    A value has to look like its type (``GRAMMAR``): Spark's casts also take texts such
+    as yes or 1d, which stay text here.
+    """
+    kinds = tuple(GRAMMAR)
+    fits = lambda c, k: col(c).rlike(GRAMMAR[k]) & col(c).try_cast(k).isNotNull()
     checks = [
-        F.sum((col(c).isNotNull() & col(c).try_cast(k).isNull()).cast("long")).alias(f"{i}_{k}")
+        F.sum((col(c).isNotNull() & ~fits(c, k)).cast("long")).alias(f"{i}_{k}")
         for i, c in enumerate(raw.columns)
         for k in kinds
     ] + [F.count(col(c)).alias(f"{i}_n") for i, c in enumerate(raw.columns)]
@@ -79,6 +97,10 @@ def preview(df: DataFrame, key: str | list[str], rows: int = 5) -> DataFrame:
     return df.orderBy(*[col(k) for k in keys]).limit(rows)
 
 
+# Fixed values of the two demonstration tables: column names, value lists, ranges, shares
+# and the rows with gaps or copies.
+
+
 def _draw(salt: str) -> Column:
     """Reproducible number in [0, 1) from the row id."""
     return F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)

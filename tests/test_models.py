@@ -146,7 +146,14 @@ def test_silhouette_and_projection(spark):
         own = (c == c[i]) & (np.arange(50) != i)
         a, b = d[i, own].mean(), d[i, c != c[i]].mean()
         s.append((b - a) / max(a, b))
+    assert cluster.silhouette_euclidean(rows) == pytest.approx(np.mean(s))
+    d, s = d**2, []
+    for i in range(50):
+        own = c == c[i]
+        a, b = d[i, own].sum() / (own.sum() - 1), d[i, ~own].mean()
+        s.append((b - a) / max(a, b))
     assert cluster.silhouette(rows) == pytest.approx(np.mean(s))
+    assert cluster.silhouette(rows.where("_cluster = 0")) is None
     flat = cluster.pca_2d(rows).orderBy("_key").collect()
     centred = x - x.mean(0)
     _, _, vt = np.linalg.svd(centred, full_matrices=False)

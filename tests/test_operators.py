@@ -115,6 +115,8 @@ def test_date_rules(spark):
     assert cl.datetime_columns(df) == []  # half of the values parse
     good = spark.createDataFrame([("2024-01-05", "x")], "created string, mood string")
     assert cl.datetime_columns(good) == ["created"]
+    late = spark.createDataFrame([("2024-01-05" if i >= 30 else "unknown",) for i in range(200)], "created string")
+    assert cl.datetime_columns(late) == ["created"]  # all rows count, not the first ones
     assert cl.date_candidates(spark.createDataFrame([(1, 2)], "a int, start_date int")) == ["start_date"]
     with pytest.raises(ValueError):
         features.datetime_features(good, "mood")
@@ -268,7 +270,14 @@ def test_metrics(spark):
     r = evaluate.classification(df, "y", "p").first()
     assert (r["accuracy"], r["recall"]) == (pytest.approx(0.6), pytest.approx(0.6))
     assert r["precision"] == pytest.approx((2 * 0.5 + 2 * 2 / 3 + 0) / 5)
-    assert evaluate.confusion(df, "y", "p").count() == 9
+    assert evaluate.confusion(df, "y", "p").count() == 9 and evaluate.confusion(df, "y", "p", filled_only=True).count() == 4
+    mixed = df.withColumn("p", F.col("p").cast("double"))
+    assert evaluate.classification(mixed, "y", "p").first() == r
+    assert {tuple(x) for x in evaluate.confusion(mixed, "y", "p").collect()} == {tuple(x) for x in evaluate.confusion(df, "y", "p").collect()}
+    many = spark.range(1_200).selectExpr("id AS y", "id AS p")
+    assert evaluate.confusion(many, "y", "p", filled_only=True).count() == 1_200
+    with pytest.raises(ValueError):
+        evaluate.confusion(many, "y", "p")
     q = evaluate.regression(df, "y", "p").first()
     assert q["mae"] == pytest.approx(0.6) and q["rmse"] == pytest.approx(math.sqrt(1.0))
 
@@ -277,7 +286,35 @@ def test_pivot_and_hierarchy(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 5.0), ("b", "x", 7.0)], "r string, c string, v double")
     got = {r["row"]: (r["x"], r["y"]) for r in chart.pivot(df, "r", "c", "v").collect()}
     assert got == {"a": (1.0, 2.0), "b": (6.0, 0.0)}
-    assert chart.pivot(df, "r", "c", "v", max_columns=1).count() == 3
+    assert chart.pivot(df, "r", "c", "v", form="long").count() == 3
+    wide = spark.range(300).selectExpr("1 AS r", "id AS c", "1.0D AS v")
+    assert chart.pivot(wide, "r", "c", "v", form="long").count() == 300
+    with pytest.raises(ValueError):
+        chart.pivot(wide, "r", "c", "v")
+
+
+def test_points_are_drawn_in_full_unless_limited(spark):
+    df = spark.range(6_000).selectExpr("id", "id % 3 AS g", "CAST(id AS DOUBLE) AS v", "CAST(id % 7 AS DOUBLE) AS w", "id % 2 AS c")
+    assert chart.strip(df, "v", "id", "g").count() == chart.points(df, ["v", "w"], "id").count() == 6_000
+    assert chart.strip(df, "v", "id", "g", per_group=10, color="c").count() == 30 and "c" in chart.strip(df, "v", "id", "g", color="c").columns
+    for made in (chart.parallel_coordinates(df, ["v", "w"], "id"), chart.scatter_matrix(df, ["v", "w"], "id"), chart.missing_matrix(df, "id")):
+        assert made.count() == 6_000
+    assert chart.parallel_coordinates(df, ["v", "w"], "id", 100).count() == chart.missing_matrix(df, "id", 100).count() == 100
+
+
+def test_violin_forms(spark):
+    df = spark.range(400).selectExpr("id", "id % 2 AS g", "id % 4 AS f", "CAST(id AS DOUBLE) AS v")
+    whole, per, both = chart.violin(df, "v", bins=5), chart.violin(df, "v", "g", 5), chart.violin(df, "v", "g", 5, facet="f")
+    assert whole.count() == 5 and whole.first()["median"] == 199.5
+    assert {(r["g"], r["median"]) for r in per.collect()} == {(0, 199.0), (1, 200.0)}
+    assert {(r["g"], r["f"]) for r in both.collect()} == {(0, 0), (0, 2), (1, 1), (1, 3)}
+    for made in (per, both):
+        width = F.col("right") - F.col("left")
+        assert all(abs(r["s"] - 1) < 1e-9 for r in made.groupBy(*[c for c in ("g", "f") if c in made.columns]).agg(F.sum(F.col("density") * width).alias("s")).collect())
+
+
+def test_pivot_totals(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 5.0), ("b", "x", 7.0)], "r string, c string, v double")
     top = chart.hierarchy(df, ["r", "c"], "v").where("level = 0").first()
     assert top["value"] == 15.0
 
@@ -328,3 +365,35 @@ def test_alignment(spark):
     assert mlprep.screen_features(spark.createDataFrame([(1, 2, "a")], "id int, user_id int, t string"), "y") == []
     with pytest.raises(ValueError):
         split.folds(frame(spark, [1.0]), "id", 1)
+
+
+def test_csv_types_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('id,flag,size,note,truth,big\n1,Yes,1d,"two\nlines",True,1e3\n2,No,2f,"say ""hi""",false,.5\n3,Yes,NA,plain,TRUE,inf\n')
+    df = tables.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "flag": "string", "size": "string", "note": "string", "truth": "boolean", "big": "double"}
+    rows = df.orderBy("id").collect()
+    assert [r["note"] for r in rows] == ["two\nlines", 'say "hi"', "plain"] and rows[2]["size"] is None
+    assert [r["truth"] for r in rows] == [True, False, True] and [r["big"] for r in rows][:2] == [1000.0, 0.5]
+
+
+def test_folds_of_many_small_classes(spark):
+    df = spark.range(300).selectExpr("id", "CAST(id DIV 3 AS STRING) AS c").union(spark.range(300, 310).selectExpr("id", "NULL"))
+    dealt = split.folds(df, "id", 5, stratify="c")
+    assert sorted(r["count"] for r in dealt.groupBy("fold").count().collect()) == [62] * 5
+    assert dealt.groupBy("c", "fold").count().where("c is not null and count > 1").count() == 0
+
+
+def test_lookup_spreads_rows_without_a_key(spark, tiny_limits):
+    from gridsmith.functions.distributed import lookup_join
+
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 100 = 0 THEN CAST(id AS STRING) END AS k")
+    labels = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.lit(1))
+    joined = lookup_join(rows, labels, ["k"], "n")
+    assert joined.where("v = 1").count() == 200 and joined.count() == 20_000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in lookup_join(rows, labels, ["k"], "n").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
