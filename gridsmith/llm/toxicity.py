@@ -11,6 +11,7 @@ in a short and in a very long text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from .common import residue, whole
 MAX_PER_CLASS = 1_500
 #: Documents with this score or more are toxic.
 THRESHOLD = 0.3
+#: Words are runs of letters and digits, without the marks around them.
+WORD = re.compile(r"[^\W_]+")
 #: Texts scored in one go.
 BATCH = 400
 
@@ -38,12 +41,13 @@ class Shape:
     size: int = 8
     grams: tuple[int, int] = (3, 5)
     near: tuple[int, int] = (4, 20)
-    window: int = 24
-    floor: int = 150
-    rounds: int = 60
+    window: int = 8
+    floor: int = 60
+    rounds: int = 80
     warm: int = 20
     rate: float = 0.2
     decay: float = 1e-5
+    positive: float = 1.5
     seed: int = 11
 
 
@@ -61,7 +65,7 @@ def subwords(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(w) + 2 for w in words])
     end = np.cumsum(size)
     begin = end - size
-    word = np.repeat(np.arange(len(words)), size)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
     steps = np.full(len(chars) + 2, _BASE, np.uint64)
     steps[0] = 1
     back = np.full(len(chars) + 2, _BACK, np.uint64)
@@ -81,7 +85,7 @@ def subwords(words: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    return np.concatenate([w for w, _ in found]), (mixed % np.uint64(shape.buckets)).astype(np.int64)
+    return np.concatenate([w for w, _ in found]).astype(np.int32), (mixed % np.uint64(shape.buckets)).astype(np.int32)
 
 
 @dataclass
@@ -96,7 +100,7 @@ class Bags:
     @classmethod
     def of(cls, texts: list[str], window: int) -> Bags:
         index: dict[str, int] = {}
-        tokens = [np.array([index.setdefault(w, len(index)) for w in t.lower().split()] or [index.setdefault("", len(index))]) for t in texts]
+        tokens = [np.array([index.setdefault(w, len(index)) for w in WORD.findall(t.lower())] or [index.setdefault("", len(index))]) for t in texts]
         sizes = np.array([len(t) for t in tokens])
         bags = -(-sizes // window)
         inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -141,7 +145,7 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape()) -> Model:
     norm = 1 / (np.bincount(bags.bag, weights=sizes[bags.token]) + shape.floor)
     begins = np.concatenate([[0], np.flatnonzero(np.diff(bags.doc)) + 1])
     per_doc = np.bincount(bags.doc)
-    weight = np.where(y == 1, 1.0, 1.0 * y.sum() / (len(y) - y.sum()))
+    weight = np.where(y == 1, shape.positive, y.sum() / (len(y) - y.sum()))
     rng = np.random.default_rng(shape.seed)
     vectors = rng.normal(0, 0.1, (shape.buckets, shape.size))
     softmax = np.array([-0.5, 0.5])[:, None] * rng.normal(0, 1, shape.size)
@@ -174,9 +178,9 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape()) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS, shape: Shape = Shape()) -> Model:
     """Train on at most ``max_per_class`` labelled documents of each class, chosen by a
-    hash of the key. Rows without key or label are no labels; a key labelled twice
-    counts with its largest label. The label table is read whole, of the documents
-    only the chosen ones reach the driver."""
+    hash of the key, in one task that holds the chosen documents. Rows without key or
+    label are no labels; a key labelled twice counts with its largest label. The label
+    table is read whole; only the model reaches the driver."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     marked = marked.groupBy(F.col(key).alias("_marked")).agg(F.max(F.when(F.col(label) != 0, 1).otherwise(0)).alias("_label"))
     chosen = None
@@ -184,9 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = marked.where(F.col("_label") == value).orderBy(F.xxhash64(F.col("_marked")), "_marked").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     own = docs.select(F.col(key).alias("_key"), whole(text).alias("_text"))
-    rows = own.join(F.broadcast(chosen), F.col("_key") == F.col("_marked")).select("_key", "_text", "_label").collect()
-    rows.sort(key=lambda r: (r["_key"], r["_text"]))
-    return train([r["_text"] for r in rows], [r["_label"] for r in rows], shape)
+    rows = own.join(F.broadcast(chosen), F.col("_key") == F.col("_marked")).select(F.lit(0).alias("_one"), "_key", "_text", "_label")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_key", "_text"])
+        model = train(pdf["_text"].tolist(), pdf["_label"].tolist(), shape)
+        return pd.DataFrame({"pull": [model.pull.tobytes()], "bias": [model.bias]})
+
+    found = rows.groupBy("_one").applyInPandas(learn, "pull binary, bias double").collect()
+    return Model(shape, np.frombuffer(found[0]["pull"], np.float32), found[0]["bias"]) if found else train([], [], shape)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
