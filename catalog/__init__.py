@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL where one exists."""
 
-from . import base, charts, cleaning, modelling, profiling, unsupervised  # noqa: F401
+from . import base, charts, checked, cleaning, modelling, profiling, unsupervised  # noqa: F401
 
 QUERIES = base.QUERIES
 SQL = base.SQL

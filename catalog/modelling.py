@@ -214,19 +214,6 @@ for _name in train.model_names(train.REGRESSION):
     query(f"regress_{_slug(_name)}")(_regress(_name))
 
 
-@query("model_catalogue")
-def model_catalogue(spark, sf):
-    task = [r["task"] for r in _tasks(spark, sf)]
-    return spark.createDataFrame([(t, m) for t in task for m in train.model_names(t)], "task string, model string")
-
-
-def _tasks(spark, sf):
-    from gridsmith.operators import profile
-
-    found = profile.detect_task(table(spark, sf, "labels"), "quality").unionByName(profile.detect_task(table(spark, sf, "orders"), "o_totalprice"))
-    return found.collect()
-
-
 @query(
     "linear_regression_fit",
     f"SELECT l_orderkey, l_partkey, {rnd('regr_slope(l_extendedprice, l_quantity) OVER () * l_quantity + regr_intercept(l_extendedprice, l_quantity) OVER ()', 2)} AS predicted FROM lineitem",

@@ -114,6 +114,15 @@ def column_kinds(spark, sf):
     return cl.column_kinds(df).select("column", "kind").join(profile.missing(df).select("column", "missing"), "column")
 
 
+@query(
+    "feature_type_counts",
+    "SELECT CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'Numeric Features' ELSE 'Categorical Features' END AS \"type\", count(*) AS \"count\" "
+    "FROM information_schema.columns WHERE table_name = 'part' GROUP BY 1",
+)
+def feature_type_counts(spark, sf):
+    return profile.type_counts(table(spark, sf, "part"))
+
+
 @query("type_counts", and_with("li", f"k AS ({KINDS}) SELECT kind, count(*) AS \"count\", sum(missing)::BIGINT AS missing FROM k GROUP BY 1"))
 def type_counts(spark, sf):
     return column_kinds(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("count"), F.sum("missing").alias("missing"))

@@ -91,7 +91,7 @@ class KernelSvm:
         mapped = materialize(mapping.transform(df).select("features", "label"))
         reg = 1.0 / max(self.rows, 1)
         if self.classes == 0:
-            linear = LinearRegression(loss="huber", regParam=reg, standardization=False)
+            linear = LinearRegression(loss="huber", regParam=reg)  # without its scaling the steps end too early
         else:
             linear = LinearSVC(regParam=reg, standardization=False, maxIter=100)
             if self.classes > 2:
