@@ -123,8 +123,9 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     order = [F.col("id").desc_nulls_last(), F.col("row")]
     line = materialize(successors(once, order, "row", ["fp"]).withColumn("cut", F.floor(F.col("n") / 3).cast("int")))
-    ends = own.select(F.col("row").alias("next_row"), "text").join(line, "next_row")
-    ends = ends.select("row", "n", "fp", "next_fp", "near_docs", "cut", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("end")).dropDuplicates(["row"])
+    own = own.select("row", "text").repartition("row")  # one shuffle of the texts serves both joins
+    ends = own.withColumnRenamed("row", "next_row").join(line, "next_row")
+    ends = ends.select("row", "id", "n", "fp", "next_fp", "near_docs", "cut", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("end")).dropDuplicates(["row"])
     edited = own.join(ends, "row").withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("cut")).cast("int")), F.col("end")))
     edited = edited.select("id", "n", "fp", "next_fp", "near_docs", F.sha2("edited", 256).alias("sha"), "edited")
     return with_fingerprint(edited, "edited", "edited_fp").select(
