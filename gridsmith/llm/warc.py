@@ -17,12 +17,15 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
 from .common import scratch, spread_join
 
 #: Bytes of an archive before compression, without its last record.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of records passed on at a time, and rows handled at a time.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 256
 #: Equal payloads of fewer bytes are stored again.
 LEAST_REVISIT = 100
 #: Content types and names that the formats fix.
@@ -45,7 +48,7 @@ def write_archives(records: DataFrame, head: bytes, separator: str, path: str) -
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, at, size = 0, 0, 0
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
             rows = []
             for record in batch.column(0).to_pylist():
                 if at == 0 or size >= ARCHIVE_BYTES:
@@ -73,7 +76,7 @@ def write_arc(pages: DataFrame, path: str, key: str, url: str, body: str, versio
     ``unknown:``; white space in urls is percent-encoded. Other columns are ignored."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
             out = []
             for k, u, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 payload = (b or "").encode()
@@ -111,22 +114,22 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         stop = content.find(b"\n", at)
         line = content[at : stop if stop >= 0 else end].decode("utf-8", "replace").rstrip("\r")
         parts = line.split(" ")
-        block = content[stop + 1 :] if stop >= 0 else b""
+        begin = stop + 1 if stop >= 0 else end
         size = int(parts[-1]) if parts[-1].isascii() and parts[-1].isdigit() else -1
         if version is None:
-            found = re.match(rb"([12]) ", block)
+            found = re.match(rb"([12]) ", content[begin : begin + 2])
             version = int(found[1]) if found and line.startswith("filedesc:") else 0
         want = len(ARC_FIELDS[version].split()) if version else -1
-        if len(parts) != want or not 0 <= size <= len(block):
+        if len(parts) != want or not 0 <= size <= end - begin:
             yield {"offset": at, "version": version or None, "block": content[at:], "error": "unknown version" if not version else "broken header line" if len(parts) != want or size < 0 else "truncated record"}
             return
         if not line.startswith("filedesc:"):
             status = parts[4] if version == 2 else ""
             yield {
                 "offset": at, "version": version, "url": parts[0], "ip": parts[1], "date": parts[2], "mime": parts[3],
-                "status": int(status) if status.isdigit() else None, "length": size, "block": block[:size], "error": None,
+                "status": int(status) if status.isdigit() else None, "length": size, "block": content[begin : begin + size], "error": None,
             }
-        at = stop + 1 + size
+        at = begin + size
 
 
 def parse_warc(content: bytes) -> Iterator[dict]:
@@ -156,12 +159,12 @@ def parse_warc(content: bytes) -> Iterator[dict]:
         at = stop + 4 + int(size)
 
 
-def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """Records of every archive under ``path``, plain or gzip, by ``parse``."""
+def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[dict]], schema: str, make: Callable[[dict], dict] | None = None) -> DataFrame:
+    """Records of every archive under ``path``, plain or gzip, by ``parse``, each as it is
+    or as ``make`` turns it into a row of ``schema``; ``archive`` is the file's path.
+    A task holds one archive and passes its records on in small batches."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     empty = spark.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     columns = to_arrow_schema(empty)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +172,10 @@ def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes], Itera
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows, size = [], 0
                 for r in parse(_plain(content.as_py())):
-                    rows.append(r | {"archive": name.as_py()})
+                    r["archive"] = name.as_py()
+                    rows.append(make(r) if make else r)
                     size += len(r.get("block") or r.get("payload") or b"")
-                    if size > ARCHIVE_BYTES // 4:
+                    if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=columns)
                         rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=columns)
@@ -195,49 +199,47 @@ def _headers(http: str) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.split("\r\n")[1:])}
 
 
-def identify(records: DataFrame, header: str = "x-page-id") -> DataFrame:
-    """ARC records with what their WARC records need: record_id (from archive, offset
-    and url), warc_type, http (headers of an HTTP block), payload, digest (SHA-256 of
-    the payload), size, and ``key`` (the value of an HTTP ``header``)."""
-    schema = "record_id string, url string, ip string, date string, kind string, http binary, payload binary, digest string, size long, key string"
+IDENTIFIED = "record_id string, url string, ip string, date string, kind string, digest string, size long, key string"
+BLOCKS = ", http binary, payload binary"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                block = r["block"] or b""
-                web = (r["url"] or "").lower().startswith(("http:", "https:", "unknown:")) and block.startswith(b"HTTP/")
-                http, _, payload = block.partition(b"\r\n\r\n") if web else (b"", b"", block)
-                place = r["url"] or "unknown:"
-                rows.append({
-                    "record_id": f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{r["archive"]} {r["offset"]} {place}').urn}>",
-                    "url": place, "ip": r["ip"], "date": warc_date(r["date"]), "kind": HTTP if web else r["mime"] or "application/octet-stream",
-                    "http": http, "payload": payload, "digest": hashlib.sha256(payload).hexdigest(), "size": len(payload),
-                    "key": _headers(http.decode("utf-8", "replace")).get(header) if web else None,
-                })
-            names = [x.split(" ") for x in schema.split(", ")]
-            kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in names]))
-
-    return records.mapInArrow(read, schema)
-
-
-def convert(records: DataFrame, path: str, least: int = LEAST_REVISIT, order: str = "long") -> None:
-    """Write the WARC archives of identified ARC records.
+
+def identify(header: str = "x-page-id") -> Callable[[dict], dict]:
+    """Maker of what a WARC record needs from an ARC record: record_id (from archive,
+    offset and url), kind, http (headers of an HTTP block), payload, its digest
+    (SHA-256) and size, and ``key`` (the value of an HTTP ``header``)."""
+
+    def make(r: dict) -> dict:
+        block, place = r["block"] or b"", r.get("url") or "unknown:"
+        web = place.lower().startswith(("http:", "https:", "unknown:")) and block.startswith(b"HTTP/")
+        http, _, payload = block.partition(b"\r\n\r\n") if web else (b"", b"", block)
+        return {
+            "record_id": f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{r["archive"]} {r["offset"]} {place}').urn}>",
+            "url": place, "ip": r.get("ip"), "date": warc_date(r.get("date")), "kind": HTTP if web else r.get("mime") or "application/octet-stream",
+            "http": http, "payload": payload, "digest": hashlib.sha256(payload).hexdigest(), "size": len(payload),
+            "key": _headers(http.decode("utf-8", "replace")).get(header) if web else None,
+        }
+
+    return make
+
+
+def convert(spark: SparkSession, legacy: str, path: str, least: int = LEAST_REVISIT, order: str = "long", header: str = "x-page-id") -> None:
+    """Write the WARC archives of the ARC archives under ``legacy``.
 
     Of the records with equal payloads (by SHA-256) of at least ``least`` bytes the one
     with the smallest key (read as type ``order``; records without one come last, ties
     go to the smaller record id) is stored whole; the others become revisits that keep
     their HTTP headers and refer to it. Blocks that are not HTTP become resources.
     """
+    seen = read_archives(spark, legacy, parse_arc, IDENTIFIED, identify(header))
+    records = read_archives(spark, legacy, parse_arc, IDENTIFIED + BLOCKS, identify(header))
     rank = F.struct(F.col("key").try_cast(order).isNull().alias("none"), F.col("key").try_cast(order).alias("key"), "record_id")
-    groups = records.where((F.col("size") >= least) & (F.col("kind") == HTTP)).groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = seen.where((F.col("size") >= least) & (F.col("kind") == HTTP)).groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups.where("n > 1").select("digest", F.col("first.record_id").alias("first_id"), "n"))
     typed = spread_join(records, groups, "digest", "n")
     typed = typed.withColumn("first_id", F.when((F.col("size") >= least) & (F.col("kind") == HTTP) & (F.col("first_id") != F.col("record_id")), F.col("first_id")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
             out = []
             for r in batch.to_pylist():
                 web, again = r["kind"] == HTTP, r["first_id"]
@@ -260,28 +262,24 @@ def convert(records: DataFrame, path: str, least: int = LEAST_REVISIT, order: st
     write_archives(built, head, "\r\n\r\n", path)
 
 
-def contents(archives: DataFrame, header: str = "x-page-id") -> DataFrame:
-    """key, payload_bytes, payload_digest, record_type, refers_to (key of the record a
-    revisit refers to) of read WARC records. The digest of a stored payload is computed
-    from its bytes; a revisit has the length and digest that its headers declare."""
-    schema = "key string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string"
+CONTENTS = "key string, payload_bytes long, payload_digest string, record_type string, record_id string, refers_id string"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                named, again = _headers(r["http"] or ""), r["type"] == "revisit"
-                payload = r["payload"] or b""
-                rows.append((
-                    named.get(header), int(named.get("content-length", 0)) if again else len(payload),
-                    (r["payload_digest"] or "").partition(":")[2] if again else hashlib.sha256(payload).hexdigest(),
-                    r["type"] or "unreadable", r["record_id"], r["refers_to"],
-                ))
-            names = [x.split(" ") for x in schema.split(", ")]
-            fields = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in names])
-            yield pa.RecordBatch.from_pylist([dict(zip(fields.names, r)) for r in rows], schema=fields)
-
-    rows = materialize(archives.mapInArrow(read, schema))
+
+def contents(spark: SparkSession, path: str, header: str = "x-page-id") -> DataFrame:
+    """key, payload_bytes, payload_digest, record_type, refers_to (key of the record a
+    revisit refers to) of the WARC archives under ``path``. The digest of a stored
+    payload is computed from its bytes; a revisit has the length and digest that its
+    headers declare."""
+
+    def make(r: dict) -> dict:
+        named, again, payload = _headers(r.get("http") or ""), r.get("type") == "revisit", r["payload"] or b""
+        return {
+            "key": named.get(header), "payload_bytes": int(named.get("content-length", 0)) if again else len(payload),
+            "payload_digest": (r["payload_digest"] or "").partition(":")[2] if again else hashlib.sha256(payload).hexdigest(),
+            "record_type": r.get("type") or "unreadable", "record_id": r.get("record_id"), "refers_id": r.get("refers_to"),
+        }
+
+    rows = materialize(read_archives(spark, path, parse_warc, CONTENTS, make))
     asked = rows.where("refers_id is not null").groupBy("refers_id").agg(F.count(F.lit(1)).alias("n"))
     named = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_id"), F.col("key").alias("refers_to"))
     labels = materialize(asked.join(named, "refers_id"))
@@ -300,6 +298,6 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
     spark, kind = pages.sparkSession, dict(pages.dtypes)[key]
     legacy, converted = scratch(spark), scratch(spark)
     write_arc(pages, legacy, key, url, body, version)
-    convert(identify(read_archives(spark, legacy, parse_arc, ARC_SCHEMA)), converted, order=kind)
-    found = contents(read_archives(spark, converted, parse_warc, WARC_SCHEMA))
+    convert(spark, legacy, converted, order=kind)
+    found = contents(spark, converted)
     return found.select(F.col("key").cast(kind).alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
