@@ -57,8 +57,8 @@ class Lattice:
                     total += weight
                     found.append((weight, begin, hit[0]))
             found.sort(reverse=True)
-            # the share of the other edges is summed, as 1 - share would lose small ones
-            others = [sum(x[0] for j, x in enumerate(found) if j != i) / total for i in range(len(found))]
+            # the share of the others is summed where total - weight would lose small ones
+            others = [(total - x[0] if 2 * x[0] < total else sum(y[0] for y in found if y is not x)) / total for x in found]
             self.edges[end] = tuple((w / total, b, ids, o) for (w, b, ids), o in zip(found, others))
             sums[end] = total
             if not 1e-200 < total < 1e200:  # only ratios within a piece's reach matter
