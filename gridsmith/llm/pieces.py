@@ -34,6 +34,8 @@ from .token_counts import LONGEST, check_cuts, pre_tokens, processor
 CACHE = 40_000
 #: A factor a character that keeps weights near 1; it cancels out.
 PER_CHAR = 8.0
+#: Bytes of ids from which a batch of results is passed on.
+BATCH_BYTES = 8_000_000
 
 _workers: dict[tuple, tuple] = {}
 
@@ -232,18 +234,26 @@ def encode_samples(docs: DataFrame, model: str, keys: list[str], text: str = "te
                     cache[piece] = found
             return found
 
+        kinds = [pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+
+        def made(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+            own_columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*kept, *own_columns], names=names)
+
         for batch in batches:
-            at, rows = [], []
-            for i, (key, value) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
-                drawn = sample([lattice(p) for p in pre_tokens(value)], samples, seed_of(key, seed))
+            at, rows, size = [], [], 0
+            for i, (key, value) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+                drawn = sample([lattice(p) for p in pre_tokens(value.as_py())], samples, seed_of(key.as_py(), seed))
                 bound = drawn[samples][0] if len(drawn) > samples else None
                 for rank, (perturbed, log_p, ids) in enumerate(drawn[:samples], 1):
                     at.append(i)
                     rows.append((rank, ids, len(ids) // 4, log_p, perturbed, 0.0 if bound is None else inclusion(log_p, bound)))
-            kept = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
-            kinds = [pa.int32(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            own_columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*kept, *own_columns], names=names)
+                    size += len(ids)
+                if size > BATCH_BYTES:
+                    yield made(batch, at, rows)
+                    at, rows, size = [], [], 0
+            yield made(batch, at, rows)
 
     return own.mapInArrow(draw, T.StructType(fields))
 

@@ -106,9 +106,8 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_piece_sampling")
 def op6_piece_sampling(spark: SparkSession, sf: str) -> DataFrame:
-    """Three segmentations of every turn; the ids as a digest, and whether they decode to the turn."""
-    turns = table(spark, sf, "conversations")
-    drawn = pieces.encode_samples(turns, piece_model(), ["conv_id", "turn"])
+    """Three segmentations of every document; the ids as a digest, and that of the text they decode to."""
+    drawn = pieces.encode_samples(table(spark, sf, "documents"), piece_model(), ["doc_id"])
     decoded = pieces.decode(drawn, piece_model()).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return decoded.withColumn("ids_sha256", F.sha2("ids", 256)).drop("ids", "decoded")
 

@@ -1,5 +1,6 @@
 """Token counts, sampled segmentations."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -91,3 +92,11 @@ def test_long_pre_tokens():
     for text, count in (("a" * 3_000, 3), ("ab" * 2_000, 3), ("😀" * 500, 1), (" " * 700, 3)):
         drawn = pieces.sample([pieces.Lattice(p, *known) for p in token_counts.pre_tokens(text)], 3, 5)
         assert len({x[2] for x in drawn[:3]}) == len(drawn[:3]) == count
+
+
+def test_query_samples_every_document(spark, docs, monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_BYTES", 20_000)
+    got = queries.op6_piece_sampling(spark, "/root/testdata/sf0.001").collect()
+    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+    assert {r.doc_id: r.decoded_sha256 for r in got} == want
+    assert all(r.decoded_sha256 == want[r.doc_id] for r in got) and len({(r.doc_id, r.rank) for r in got}) == len(got)
