@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, katz, licences, packing, pieces, simhash, token_counts, toxicity, warc
+from . import exact, fingerprints, katz, licences, packing, page_text, pieces, ranking, simhash, token_counts, toxicity, vector_codes, warc
 from .common import residue, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,70 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.fit(docs, toxicity.trainable(table(spark, sf, "labels")))
     scored = docs.select("doc_id", (residue("doc_id", 4) == 2).alias("held_out"), toxicity.score(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+#: The terms of ranked search, as SQL over a lower-cased text.
+TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')""".replace("{UPPER}", UPPER).replace("{LOWER}", LOWER)
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS doc_row, {TERMS} AS terms FROM documents),
+    s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+    i AS (SELECT item_id, row_number() OVER () AS item_row, {TERMS} AS terms FROM benchmark),
+    q AS (SELECT item_row, term, count(*) AS times FROM (SELECT item_row, unnest(terms) AS term FROM i) GROUP BY ALL),
+    b AS (SELECT doc_row, term, count(*) AS tf FROM (SELECT doc_row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM b, s GROUP BY term),
+    m AS (SELECT doc_row, doc_id, 25 + (75 * len(terms) * docs) // total AS m FROM d, s WHERE len(terms) > 0),
+    r AS (SELECT item_row, doc_row, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM q JOIN b USING (term) JOIN w USING (term) JOIN m USING (doc_row) GROUP BY ALL HAVING score > 0),
+    t AS (SELECT item_row, doc_id, score, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS rank FROM r JOIN m USING (doc_row) QUALIFY rank <= 10)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM t JOIN i USING (item_row)
+    """,
+)
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op12_page_text",
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS art FROM pages),
+    b AS (SELECT page_id, url, list_transform(string_split_regex(art, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS blocks FROM a),
+    c AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
+        '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#(?:x27|39);', '''', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM b),
+    t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM c)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+    """,
+)
+def op12_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The SQL knows only the markup that these pages use."""
+    return page_text.extract(table(spark, sf, "pages")).drop("n_site_lines")
+
+
+def _codes_sql() -> str:
+    steps = []
+    for r in range(3):
+        steps.append(f"""
+    d{r} AS (SELECT x.vec_row, x.part, c.entry, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS far FROM x JOIN c{r} c ON c.part = x.part AND c.place = x.place GROUP BY ALL),
+    a{r} AS MATERIALIZED (SELECT vec_row, part, entry, far FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_row, part ORDER BY far, entry) = 1)""")
+        if r < 2:
+            steps.append(f"""
+    u{r} AS (SELECT part, entry, place, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS v FROM a{r} JOIN x USING (vec_row, part) GROUP BY ALL),
+    c{r + 1} AS MATERIALIZED (SELECT part, entry, place, coalesce(u.v, c.v) AS v FROM c{r} c LEFT JOIN u{r} u USING (part, entry, place))""")
+    return f"""
+    WITH k AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS vec_row FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    f AS (SELECT vec_row, unnest(list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT))) AS v, unnest(range(len(embedding))) AS i, len(embedding) // 16 AS width FROM k),
+    x AS MATERIALIZED (SELECT vec_row, i // width AS part, i % width AS place, v FROM f),
+    c0 AS MATERIALIZED (SELECT part, vec_row - 1 AS entry, place, v FROM x WHERE vec_row <= 64),{",".join(steps)},
+    e AS (SELECT vec_row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY vec_row),
+    h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM c2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN k USING (vec_row), h
+    """
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings"))
