@@ -104,14 +104,6 @@ def adjusted_skew(c: Column) -> Column:
     return F.when(F.count(x) > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def pair_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both sides are present; NULL when
-    either side does not vary."""
-    # these three use only rows where both sides are present
-    spread = F.sqrt(F.regr_sxx(b, a)) * F.sqrt(F.regr_syy(b, a))
-    return F.try_divide(F.regr_sxy(b, a), spread)
-
-
 def order_hash(key: Column, seed: int) -> Column:
     """Reproducible pseudo-random order of rows by an explicit key."""
     return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_numeric, numeric_columns
 from ..session import materialize
-from . import anomaly, density, mlprep
+from . import anomaly, density, linkage, mlprep
 from .neighbors import as_points, knn
 
 KMEANS = "K-Means Clustering"
@@ -60,16 +60,16 @@ def nearest_of_many(centres: list[list[float]]):
     return index
 
 
-def link(centres: list[list[float]], weights: list[float], k: int, linkage: str) -> list[int]:
+def link(centres: list[list[float]], weights: list[float], k: int, how: str) -> list[int]:
     """Group of each of a bounded number of weighted centres after merging down to k."""
     import numpy as np
 
-    if linkage not in LINKAGES:
-        raise ValueError(f"unknown linkage '{linkage}'; one of {LINKAGES}")
+    if how not in LINKAGES:
+        raise ValueError(f"unknown linkage '{how}'; one of {LINKAGES}")
     c, w = np.asarray(centres, dtype=float), np.asarray(weights, dtype=float)
     m = len(c)
     d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-    if linkage == "ward":
+    if how == "ward":
         d = d * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
     else:
         d = np.sqrt(d)
@@ -79,12 +79,12 @@ def link(centres: list[list[float]], weights: list[float], k: int, linkage: str)
     for _ in range(max(m - k, 0)):
         i, j = divmod(int(d.argmin()), m)
         i, j = min(i, j), max(i, j)
-        if linkage == "ward":
+        if how == "ward":
             total = w[i] + w[j] + w
             new = ((w[i] + w) * d[i] + (w[j] + w) * d[j] - w * d[i, j]) / total
-        elif linkage == "complete":
+        elif how == "complete":
             new = np.maximum(d[i], d[j])
-        elif linkage == "single":
+        elif how == "single":
             new = np.minimum(d[i], d[j])
         else:
             new = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
@@ -233,6 +233,8 @@ def fit(df: DataFrame, features: list[str] | None, key: str, algorithm: str = KM
         best = best_kmeans(vectors, int(params.get("n_clusters", 3)), int(params.get("restarts", RESTARTS)))
         model = [list(map(float, c)) for c in best.clusterCenters()]
         rows = best.transform(vectors).withColumnRenamed("prediction", "_cluster")
+    elif algorithm == AGGLOMERATIVE and params.get("linkage") == "single":
+        rows = _single_linkage(vectors, int(params.get("n_clusters", 3)))
     elif algorithm == AGGLOMERATIVE:
         rows = _agglomerate(vectors, int(params.get("n_clusters", 3)), params.get("linkage", "ward"), int(params.get("micro", MICRO)))
     elif algorithm == DBSCAN:
@@ -274,7 +276,17 @@ def label_counts(assigned: DataFrame, label: str = "Cluster") -> DataFrame:
     return assigned.groupBy(col(label).cast("string").alias("Label")).agg(F.count(F.lit(1)).alias("Count"))
 
 
-def _agglomerate(vectors: DataFrame, k: int, linkage: str, micro: int = MICRO) -> DataFrame:
+def _single_linkage(vectors: DataFrame, k: int) -> DataFrame:
+    """Clusters of all rows by their minimum spanning tree, numbered by their smallest key."""
+    points = as_points(vectors, "_key", "features")
+    found = linkage.cut(points, linkage.spanning_tree(points), k)
+    named = materialize(vectors.join(found.select(F.col("key").alias("_text"), "cluster"), F.col("_key").cast("string") == F.col("_text")).drop("_text"))
+    firsts = named.groupBy("cluster").agg(F.min("_key").alias("first")).orderBy("first").collect()  # k rows
+    place = F.create_map(*[F.lit(v) for i, r in enumerate(firsts) for v in (r["cluster"], i)])
+    return named.withColumn("_cluster", place[F.col("cluster")]).drop("cluster")
+
+
+def _agglomerate(vectors: DataFrame, k: int, how: str, micro: int = MICRO) -> DataFrame:
     """Merge at most ``micro`` weighted centres that leave the least squared distance to
     the rows: found by k-means, or with distance zero the distinct rows themselves when
     there are no more of them. More centres come closer to the linkage of all rows."""
@@ -288,6 +300,6 @@ def _agglomerate(vectors: DataFrame, k: int, linkage: str, micro: int = MICRO) -
     rows = vectors.withColumn("_micro", nearest_of_many(centres)(x))
     sizes = {r["_micro"]: r["count"] for r in rows.groupBy("_micro").count().collect()}
     used = sorted(sizes)
-    group = link([centres[i] for i in used], [sizes[i] for i in used], k, linkage)
+    group = link([centres[i] for i in used], [sizes[i] for i in used], k, how)
     place = F.create_map(*[F.lit(int(v)) for iv in zip(used, group) for v in iv])
     return rows.withColumn("_cluster", place[F.col("_micro")]).drop("_micro")

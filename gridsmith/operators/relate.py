@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
@@ -11,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, numeric_columns
 from ..functions.distributed import lookup_join, running_totals
-from ..functions.exprs import pair_corr
 from ..session import LIMITS, materialize
 
 
@@ -21,8 +23,8 @@ PAIR_SCHEMA = "position int, a string, b string, r double"
 def _pairs_frame(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Correlation of each pair over the rows where both are present: position, a, b, r.
 
-    Pairs of columns without gaps come from one correlation matrix. The others are
-    one grouped aggregate over (pair, x, y) rows, combined before the shuffle.
+    Pairs of columns without gaps come from one correlation matrix, the others from
+    masked products (``gapped_corr``).
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
     if not names:
@@ -42,17 +44,49 @@ def _pairs_frame(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         parts.append(df.sparkSession.createDataFrame(cells, PAIR_SCHEMA))
     rest = [(i, p) for i, p in placed if (i, p) not in plain]
     if rest:
-        cells = [
-            F.struct(F.lit(i).alias("position"), F.lit(a).alias("a"), F.lit(b).alias("b"), col(a).cast("double").alias("x"), col(b).cast("double").alias("y"))
-            for i, (a, b) in rest
-        ]
-        both = F.col("x").isNotNull() & F.col("y").isNotNull()
-        x, y = F.when(both, F.col("x")), F.when(both, F.col("y"))
-        long = df.select(F.inline(F.array(*cells))).groupBy("position", "a", "b")
-        parts.append(long.agg(pair_corr(x, y).alias("r")))
+        used = list(dict.fromkeys(c for _, p in rest for c in p))
+        r, at = gapped_corr(df, used), {c: i for i, c in enumerate(used)}
+        cells = [(i, a, b, None if np.isnan(r[at[a], at[b]]) else float(r[at[a], at[b]])) for i, (a, b) in rest]
+        parts.append(df.sparkSession.createDataFrame(cells, PAIR_SCHEMA))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def gapped_corr(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """Pairwise-complete correlations of columns with gaps, NaN where a pair has fewer than
+    two rows or no spread.
+
+    After one aggregate for centres and scales, one scan gives all sums: with gaps filled by
+    zero (x) and marked (m), the products x'x, x'm, (x^2)'m and m'm hold the moments of
+    every pair over its own complete rows. Tasks multiply blocks of rows, and one partial
+    sum a cell leaves each; no row is multiplied by pairs.
+    """
+    d = len(cols)
+    facts = df.agg(*[f(col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    middle = [facts[f"m{i}"] or 0.0 for i in range(d)]
+    scale = [facts[f"s{i}"] or 1.0 for i in range(d)]
+    rows = df.select(F.array(*[(col(c).cast("double") - F.lit(m)) / F.lit(s) for c, m, s in zip(cols, middle, scale)]).alias("x"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, d, d))
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            m = 1.0 - np.asarray(flat.is_null(), np.float64).reshape(-1, d)
+            x = np.asarray(flat.fill_null(0.0), np.float64).reshape(-1, d)
+            total += np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+        kind, i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in (kind * d * d + i * d + j, total)], names=["cell", "total"])
+
+    sums = np.zeros(4 * d * d)
+    for r in rows.mapInArrow(products, "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect():
+        sums[r["cell"]] = r["total"]
+    xy, sx, sxx, n = sums.reshape(4, d, d)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = n * sxx - sx * sx
+        spread = np.where(spread > 1e-11 * n * sxx, spread, np.nan)
+        r = (n * xy - sx * sx.T) / np.sqrt(spread * spread.T)
+    return np.where(n > 1, np.clip(r, -1.0, 1.0), np.nan)
+
+
 def pearson(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Upper triangle of the pairwise-complete correlation matrix."""
     return _pairs_frame(df, list(combinations(cols or numeric_columns(df), 2)))

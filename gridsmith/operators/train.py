@@ -18,16 +18,15 @@ from ..functions.columns import col
 from ..session import materialize
 from . import balance, encode, evaluate, mlprep, profile, split
 from .neighbors import Knn, KnnModel
+from .trees import Trees, TreesModel
 
 CLASSIFICATION, REGRESSION = "Classification", "Regression"
 KEY = "_key"
 
 # Sizes of the compared models.
 TREES, DEPTH, ROUNDS, BOOST_DEPTH, NEIGHBORS, MAX_ITER = 100, 15, 100, 6, 5, 1000
-# Random features of the kernel approximation, and the few bins that make split
-# points of the extra-trees stand-in coarse.
+# Random features of the kernel approximation.
 KERNEL_FEATURES = 256
-EXTRA_BINS = 8
 
 
 @dataclass
@@ -107,9 +106,7 @@ def catalogue(task: str, classes: int = 2, rows: int = 1, seed: int = 42) -> dic
         return {
             "Random Forest": lambda: RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed),
             "Gradient Boosting": lambda: boost() if classes <= 2 else OneVsRest(classifier=boost()),
-            "Extra Trees": lambda: RandomForestClassifier(
-                numTrees=TREES, maxDepth=DEPTH, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=EXTRA_BINS, seed=seed
-            ),
+            "Extra Trees": lambda: Trees(max(classes, 2), TREES, DEPTH, "sqrt", bootstrap=False, random_cuts=True, seed=seed),
             "Logistic Regression": lambda: LogisticRegression(maxIter=MAX_ITER, regParam=1.0 / n, standardization=False),
             "Decision Tree": lambda: DecisionTreeClassifier(maxDepth=DEPTH, seed=seed),
             "K-Nearest Neighbors": lambda: Knn(NEIGHBORS, True, KEY),
@@ -120,10 +117,8 @@ def catalogue(task: str, classes: int = 2, rows: int = 1, seed: int = 42) -> dic
     return {
         "Random Forest": lambda: RandomForestRegressor(numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", seed=seed),
         "Gradient Boosting": lambda: GBTRegressor(maxIter=ROUNDS, maxDepth=BOOST_DEPTH, seed=seed),
-        "Extra Trees": lambda: RandomForestRegressor(
-            numTrees=TREES, maxDepth=DEPTH, bootstrap=False, featureSubsetStrategy="onethird", maxBins=EXTRA_BINS, seed=seed
-        ),
-        "Linear Regression": lambda: LinearRegression(regParam=0.0, solver="normal"),
+        "Extra Trees": lambda: Trees(0, TREES, DEPTH, "all", bootstrap=False, random_cuts=True, seed=seed),
+        "Linear Regression": lambda: LinearRegression(regParam=0.0, solver="auto"),
         "Ridge Regression": lambda: LinearRegression(elasticNetParam=0.0, regParam=1.0 / n, standardization=False),
         "Lasso Regression": lambda: LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False),
         "Decision Tree": lambda: DecisionTreeRegressor(maxDepth=DEPTH, seed=seed),
@@ -188,6 +183,9 @@ class ModelBundle:
         if isinstance(self.model, KnnModel):
             meta |= {"kind": "knn", "k": self.model.k, "classify": self.model.classify}
             self.model.train.write.parquet(f"{path}/train")
+        elif isinstance(self.model, TreesModel):
+            meta |= {"kind": "trees"}
+            self.model.save(f"{path}/model")
         else:
             linear = self.model
             if isinstance(self.model, KernelModel):
@@ -202,6 +200,8 @@ class ModelBundle:
         meta = mlprep.read_json(spark, f"{path}/meta")
         if meta.get("kind") == "knn":
             model = KnnModel(spark.read.parquet(f"{path}/train"), meta["k"], meta["classify"], KEY)
+        elif meta.get("kind") == "trees":
+            model = TreesModel.load(spark, f"{path}/model")
         else:
             model = PipelineModel.load(f"{path}/model").stages[0]
             if meta.get("kind") == "kernel":
