@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import exprs
 from ..functions.columns import col, is_numeric, parsed_timestamp, require_numeric
 from ..functions.distributed import quantiles, top_value, value_counts
+from ..session import broadcast_if_small
 from . import profile
 
 
@@ -170,8 +171,13 @@ def _modes(df: DataFrame, cols: list[str]) -> dict:
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    """Whole-row distinct; which copy is kept does not matter."""
-    return df.dropDuplicates()
+    """Whole-row distinct; which copy is kept does not matter. Rows whose digest occurs once
+    stay where they are, only the others are compared as a whole."""
+    marked, seen = profile.repeated_digests(df)
+    small = broadcast_if_small(seen)
+    names = [col(c) for c in df.columns]
+    once = marked.join(small, ["_d0", "_d1"], "left_anti").select(*names)
+    return once.unionByName(marked.join(small, ["_d0", "_d1"], "left_semi").select(*names).dropDuplicates())
 
 
 def drop_constant_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:

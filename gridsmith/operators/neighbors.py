@@ -179,16 +179,22 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_same_key: bool =
 
 @dataclass
 class KnnModel:
-    """k-nearest-neighbour prediction over a training table (key, x, label)."""
+    """k-nearest-neighbour prediction over a training table (key, x, label), by the exact
+    cells or, with ``graph``, by the approximate index."""
 
     train: DataFrame
     k: int
     classify: bool
     key: str
+    graph: object = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``: majority class (ties to the smaller) or mean label."""
-        near = knn(as_points(df, self.key, "features"), self.train, self.k, carry=["label"])
+        asked = as_points(df, self.key, "features")
+        if self.graph is None:
+            near = knn(asked, self.train, self.k, carry=["label"])
+        else:
+            near = self.graph.search(asked, self.k).join(self.train.select(F.col("key").alias("neighbor"), "label"), "neighbor")
         if self.classify:
             votes = near.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
             best = votes.groupBy("key").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("label"))).alias("b"))
@@ -203,7 +209,11 @@ class Knn:
     k: int = 5
     classify: bool = True
     key: str = "_key"
+    approximate: bool = False
 
     def fit(self, df: DataFrame) -> KnnModel:
         """``df`` has the key, ``features`` and ``label``."""
-        return KnnModel(materialize(as_points(df, self.key, "features", "label")), self.k, self.classify, self.key)
+        from . import graph_index
+
+        train = materialize(as_points(df, self.key, "features", "label"))
+        return KnnModel(train, self.k, self.classify, self.key, graph_index.build(train) if self.approximate else None)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import IDENTIFIER_ENDINGS, categorical_columns, col, is_numeric, numeric_columns
 from ..functions.distributed import quantiles, top_value, value_counts
 from ..functions.exprs import adjusted_skew
+from ..session import broadcast_if_small, materialize
 
 FENCE = 1.5
 COLUMNS_PER_PASS = 6
@@ -93,9 +94,21 @@ def type_counts(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "type string, count long")
 
 
+def repeated_digests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a 128-bit digest of each row (``_d0``, ``_d1``), and the digests that
+    occur more than once, written. Only rows with such a digest can have an equal."""
+    names = [col(c) for c in df.columns]
+    marked = df.select(*names, *[F.xxhash64(F.lit(i), *names).alias(f"_d{i}") for i in range(2)])
+    seen = marked.groupBy("_d0", "_d1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d0", "_d1")
+    return marked, materialize(seen)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of each group of equal rows. Digests are counted first; whole
+    rows are compared only where a digest repeats."""
+    marked, seen = repeated_digests(df)
+    again = marked.join(broadcast_if_small(seen), ["_d0", "_d1"], "left_semi")
+    groups = again.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
 
 

@@ -7,9 +7,8 @@ from typing import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..session import materialize
 from . import balance, encode, evaluate, mlprep, profile, split
+from .kernel import KernelMachine, KernelModel
 from .neighbors import Knn, KnnModel
 from .trees import Trees, TreesModel
 
@@ -25,77 +25,6 @@ KEY = "_key"
 
 # Sizes of the compared models.
 TREES, DEPTH, ROUNDS, BOOST_DEPTH, NEIGHBORS, MAX_ITER = 100, 15, 100, 6, 5, 1000
-# Random features of the kernel approximation.
-KERNEL_FEATURES = 256
-
-
-@dataclass
-class KernelMap:
-    """Random cosine features that approximate a radial kernel."""
-
-    size: int = KERNEL_FEATURES
-    seed: int = 42
-    gamma: float | None = None
-
-    def fit_gamma(self, df: DataFrame) -> "KernelMap":
-        """1 / (features * variance of all cells)."""
-        x = vector_to_array("features")
-        row = df.agg(
-            F.max(F.size(x)).alias("d"),
-            F.avg(F.aggregate(x, F.lit(0.0), lambda a, v: a + v)).alias("s"),
-            F.avg(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)).alias("q"),
-        ).first()
-        d = row["d"] or 1
-        var = row["q"] / d - (row["s"] / d) ** 2
-        return KernelMap(self.size, self.seed, 1.0 / (d * var) if var > 0 else 1.0)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        size, seed, gamma = self.size, self.seed, self.gamma
-
-        @F.pandas_udf("array<double>")
-        def cosines(x):
-            import numpy as np
-            import pandas as pd
-
-            if not len(x):
-                return pd.Series([], dtype=object)
-            m = np.stack(x.to_numpy())
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), (m.shape[1], size))
-            b = rng.uniform(0.0, 2.0 * np.pi, size)
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(m @ w + b)))
-
-        mapped = array_to_vector(cosines(vector_to_array("features")))
-        return df.withColumn("_plain", F.col("features")).withColumn("features", mapped)
-
-
-@dataclass
-class KernelModel:
-    mapping: KernelMap
-    linear: object
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.linear.transform(self.mapping.transform(df)).withColumn("features", F.col("_plain")).drop("_plain")
-
-
-@dataclass
-class KernelSvm:
-    """Kernel machine re-aimed at scale: random cosine features, then a linear model."""
-
-    classes: int
-    rows: int
-
-    def fit(self, df: DataFrame) -> KernelModel:
-        mapping = KernelMap().fit_gamma(df)
-        mapped = materialize(mapping.transform(df).select("features", "label"))
-        reg = 1.0 / max(self.rows, 1)
-        if self.classes == 0:
-            linear = LinearRegression(loss="huber", regParam=reg)  # without its scaling the steps end too early
-        else:
-            linear = LinearSVC(regParam=reg, standardization=False, maxIter=100)
-            if self.classes > 2:
-                linear = OneVsRest(classifier=linear)
-        return KernelModel(mapping, linear.fit(mapped))
 
 
 def catalogue(task: str, classes: int = 2, rows: int = 1, seed: int = 42) -> dict[str, Callable[[], object]]:
@@ -110,7 +39,7 @@ def catalogue(task: str, classes: int = 2, rows: int = 1, seed: int = 42) -> dic
             "Logistic Regression": lambda: LogisticRegression(maxIter=MAX_ITER, regParam=1.0 / n, standardization=False),
             "Decision Tree": lambda: DecisionTreeClassifier(maxDepth=DEPTH, seed=seed),
             "K-Nearest Neighbors": lambda: Knn(NEIGHBORS, True, KEY),
-            "Support Vector Classifier": lambda: KernelSvm(max(classes, 2), n),
+            "Support Vector Classifier": lambda: KernelMachine(max(classes, 2), seed=seed),
         }
     if task != REGRESSION:
         raise ValueError(f"unknown task '{task}'")
@@ -123,7 +52,7 @@ def catalogue(task: str, classes: int = 2, rows: int = 1, seed: int = 42) -> dic
         "Lasso Regression": lambda: LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False),
         "Decision Tree": lambda: DecisionTreeRegressor(maxDepth=DEPTH, seed=seed),
         "K-Nearest Neighbors": lambda: Knn(NEIGHBORS, False, KEY),
-        "Support Vector Regressor": lambda: KernelSvm(0, n),
+        "Support Vector Regressor": lambda: KernelMachine(0, seed=seed),
     }
 
 
@@ -186,13 +115,10 @@ class ModelBundle:
         elif isinstance(self.model, TreesModel):
             meta |= {"kind": "trees"}
             self.model.save(f"{path}/model")
+        elif isinstance(self.model, KernelModel):
+            meta |= {"kind": "kernel", "kernel": self.model.as_dict()}
         else:
-            linear = self.model
-            if isinstance(self.model, KernelModel):
-                m = self.model.mapping
-                meta |= {"kind": "kernel", "size": m.size, "seed": m.seed, "gamma": m.gamma}
-                linear = self.model.linear
-            PipelineModel([linear]).write().save(f"{path}/model")
+            PipelineModel([self.model]).write().save(f"{path}/model")
         mlprep.write_json(spark, meta, f"{path}/meta")
 
     @staticmethod
@@ -202,10 +128,10 @@ class ModelBundle:
             model = KnnModel(spark.read.parquet(f"{path}/train"), meta["k"], meta["classify"], KEY)
         elif meta.get("kind") == "trees":
             model = TreesModel.load(spark, f"{path}/model")
+        elif meta.get("kind") == "kernel":
+            model = KernelModel.of(meta["kernel"])
         else:
             model = PipelineModel.load(f"{path}/model").stages[0]
-            if meta.get("kind") == "kernel":
-                model = KernelModel(KernelMap(meta["size"], meta["seed"], meta["gamma"]), model)
         prep = mlprep.Prep.load(spark, f"{path}/prep")
         return ModelBundle(meta["algorithm"], meta["task"], prep, Labels(meta["target"], meta["classes"]), model)
 

@@ -515,7 +515,8 @@ class _Growing:
                         if len(use):
                             yield _part(spec, t, 0, *grow(spec, x[:, use], y[use], w[use], seed, depth))
 
-            return spark.range(0, spec.trees, 1, spec.trees).mapInArrow(alone, PART)
+            tasks = min(spec.trees, 2 * spark.sparkContext.defaultParallelism)
+            return spark.range(0, spec.trees, 1, tasks).mapInArrow(alone, PART)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -397,3 +397,12 @@ def test_lookup_spreads_rows_without_a_key(spark, tiny_limits):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(sizes) > 1 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_duplicates_by_digest(spark):
+    rows = [(1, "a", None), (1, "a", None), (1, None, "a"), (2, "b", "x" * 1_000), (2, "b", "x" * 1_000), (2, "b", "x" * 1_000), (None, None, None), (None, None, None), (3, "c", "")]
+    df = spark.createDataFrame(rows, "k int, a string, b string").repartition(3)
+    assert profile.duplicate_rows(df).first()[0] == 4
+    kept = clean.remove_duplicates(df)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted({str(r) for r in df.collect()})
+    assert profile.duplicate_rows(df.where("k = 3")).first()[0] == 0 and clean.remove_duplicates(df.where("k > 9")).count() == 0
