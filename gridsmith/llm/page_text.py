@@ -8,7 +8,7 @@ those of the pages nearest by URL path on the same host, two before and two afte
 longest common subsequence; lines shared with two of them (with all, if there are fewer)
 belong to the site. Open lines that are not shared, and are not mostly links, stay too.
 
-Pages whose other lines are equal count once among the neighbours, so copies of a page do
+Pages of a host with equal lines count once among the neighbours, so copies of a page do
 not hide its site, and a hot host is ordered by ranges, not in one task.
 """
 
@@ -253,7 +253,7 @@ def _site_lines(own: bytes, others: list[bytes]) -> bytes:
 
 
 def _differences(sides: DataFrame) -> DataFrame:
-    """name, weight and mask of each distinct (host, lines outside the content)."""
+    """name, weight and mask of each distinct page of a host."""
     alike = sides.groupBy("name").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.min("prints").alias("prints"), F.count(F.lit(1)).alias("weight"))
     alike = alike.repartitionByRange("host", "path", "name").sortWithinPartitions("host", "path", "name")
     fields = [*alike.schema.fields, T.StructField("place", T.LongType())]
@@ -303,16 +303,21 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     own = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), whole(html).alias("_html"))
 
-    def name_of(where: str, prints: bytes) -> str:
-        return f"{where}|{xxhash.xxh3_128_hexdigest(prints)}"
+    def name_of(where: str, found: list[tuple[str, int, bool]]) -> str:
+        """Equal for pages of a host whose lines are equal."""
+        digest = xxhash.xxh3_128()
+        for line, zone, links in found:
+            digest.update(f"{zone}{links:d}{line}\n".encode())
+        return f"{where}|{digest.hexdigest()}"
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), STEP):
                 part = batch.slice(lo, STEP)
                 places = [place(u or "") for u in part.column(0).to_pylist()]
-                prints = [_prints(lines(h.as_py())) for h in part.column(1)]
-                names = [name_of(h, p) for (h, _), p in zip(places, prints)]
+                found = [lines(h.as_py()) for h in part.column(1)]
+                prints = [_prints(f) for f in found]
+                names = [name_of(h, f) for (h, _), f in zip(places, found)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(names, pa.string()), pa.array([h for h, _ in places], pa.string()), pa.array([p for _, p in places], pa.string()), pa.array(prints, pa.binary())],
                     names=["name", "host", "path", "prints"],
@@ -323,7 +328,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             for lo in range(0, len(batch), STEP):
                 part = batch.slice(lo, STEP)
                 found = [lines(h.as_py()) for h in part.column(2)]
-                names = [name_of(place(u or "")[0], _prints(f)) for u, f in zip(part.column(1).to_pylist(), found)]
+                names = [name_of(place(u or "")[0], f) for u, f in zip(part.column(1).to_pylist(), found)]
                 ends = [[t for t, z, _ in f if z > DROPPED] for f in found]
                 zones = [bytes(z + 4 * links for _, z, links in f) for f in found]
                 yield pa.RecordBatch.from_arrays(
