@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_numeric, numeric_columns
@@ -217,6 +217,34 @@ class UnsupervisedBundle:
         return ready.select(*keep, at.cast("string").alias("Cluster"))
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Preparation, assignments, centres and scorer as tables and JSON under ``path``."""
+        meta = {"algorithm": self.algorithm, "features": self.features, "silhouette": self.silhouette, "n_clusters": self.n_clusters, "params": self.params}
+        self.prep.save(spark, f"{path}/prep")
+        self.assigned.write.parquet(f"{path}/assigned")
+        if self.centers is not None:
+            self.centers.write.parquet(f"{path}/centers")
+        if self.algorithm == DBSCAN:
+            self.model.write.parquet(f"{path}/core")
+        elif self.algorithm == ISOLATION:
+            meta["model"] = {"nodes": self.model.nodes, "rows": self.model.rows, "threshold": self.model.threshold}
+        else:
+            meta["model"] = self.model
+        mlprep.write_json(spark, meta, f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "UnsupervisedBundle":
+        meta = mlprep.read_json(spark, f"{path}/meta")
+        algorithm, model = meta["algorithm"], meta.get("model")
+        if algorithm == DBSCAN:
+            model = spark.read.parquet(f"{path}/core")
+        elif algorithm == ISOLATION:
+            model = anomaly.ForestModel([tuple(n) for n in model["nodes"]], model["rows"], model["threshold"])
+        centers = None if algorithm == ISOLATION else spark.read.parquet(f"{path}/centers")
+        prep, assigned = mlprep.Prep.load(spark, f"{path}/prep"), spark.read.parquet(f"{path}/assigned")
+        return UnsupervisedBundle(algorithm, meta["features"], prep, assigned, centers, meta["silhouette"], meta["n_clusters"], model, meta["params"])
+
+
 def fit(df: DataFrame, features: list[str] | None, key: str, algorithm: str = KMEANS, **params) -> UnsupervisedBundle:
     """Fit on the complete rows of ``features`` (numeric columns by default)."""
     if algorithm not in ALGORITHMS:

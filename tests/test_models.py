@@ -179,3 +179,14 @@ def test_split_is_reproducible_and_disjoint(planted):
     again, _ = split.train_test(planted.repartition(7), "id", 0.25, stratify="y")
     ids = lambda d: {r["id"] for r in d.collect()}
     assert ids(one) == ids(again) and not ids(one) & ids(two) and len(ids(two)) == 100
+
+
+@pytest.mark.parametrize("algorithm", [cluster.KMEANS, cluster.DBSCAN, cluster.ISOLATION])
+def test_saved_clusters_score_alike(spark, tmp_path, algorithm):
+    df = spark.range(120).selectExpr("id", "cast(id % 7 as double) AS a", "cast((id * 13) % 11 as double) + if(id = 5, 50, 0) AS b", "if(id % 2 = 0, 'x', 'y') AS c")
+    bundle = cluster.fit(df, ["a", "b", "c"], "id", algorithm)
+    bundle.save(spark, str(tmp_path / "b"))
+    again = cluster.UnsupervisedBundle.load(spark, str(tmp_path / "b"))
+    assert sorted(map(tuple, again.score(df, "id").collect())) == sorted(map(tuple, bundle.score(df, "id").collect()))
+    assert (again.n_clusters, again.silhouette, again.features) == (bundle.n_clusters, bundle.silhouette, bundle.features)
+    assert again.assigned.count() == 120 and (again.centers is None) == (bundle.centers is None)
