@@ -58,3 +58,32 @@ def spread_join(rows: DataFrame, labels: DataFrame, key: str, weight: str) -> Da
     out = out.join(cold, F.col("_route") == F.col("_cold_key"), "left")
     found = [F.when(F.col("_hot_key").isNotNull(), F.col(f"_hot_{v}")).otherwise(F.col(f"_cold_{v}")).alias(v) for v in values]
     return out.select(*[F.col(c) for c in rows.columns], *found)
+
+
+class Shelf:
+    """Tables that one operator writes and deletes itself: those it drops early, and all
+    others when it is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df``, written once and read from the files."""
+        path = scratch(self.spark)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables:
+            path, _ = self.paths.pop(id(table))
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+    def __enter__(self) -> Shelf:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for _, table in list(self.paths.values())])
