@@ -210,7 +210,7 @@ def identify(header: str = "x-page-id") -> Callable[[dict], dict]:
 
     def make(r: dict) -> dict:
         block, place = r["block"] or b"", r.get("url") or "unknown:"
-        web = place.lower().startswith(("http:", "https:", "unknown:")) and block.startswith(b"HTTP/")
+        web = block.startswith(b"HTTP/")  # whatever the URL's scheme is
         http, _, payload = block.partition(b"\r\n\r\n") if web else (b"", b"", block)
         return {
             "record_id": f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'{r["archive"]} {r["offset"]} {place}').urn}>",
