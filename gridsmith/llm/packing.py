@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, whole
+from ..session import materialize
+from .common import ascii_lower, spread_join, whole
 
 #: Mean documents of a lot.
 LOT_DOCS = 4_000
@@ -109,7 +110,8 @@ def pack(
     empty; an empty document is one piece of no words and lies in a bin all the same.
     A null source or cluster conflicts with none. Equal sizes are placed by a hash of
     key and text, so row order does not matter; rows that repeat key and text cannot
-    share a bin. Other columns are ignored. An empty table gives an empty result.
+    share a bin, and are dealt over all lots by their place in the table. Other columns are
+    ignored. An empty table gives an empty result.
     """
     lots = max(1, ceil(docs.count() / lot_docs))
     own = docs.select(
@@ -118,7 +120,13 @@ def pack(
         (text_cluster(text) if cluster is None else cluster.cast("string")).alias("cluster"),
         (word_count(text) if size is None else size).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), whole(text))).alias("digest"),
-    ).withColumn("lot", F.pmod(F.xxhash64("digest"), F.lit(lots)).cast("long"))
+    )
+    if lots > 1:
+        again = materialize(own.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+        if not again.isEmpty():
+            own = spread_join(own, again, "digest", "copies")
+    dealt = F.when(F.col("copies").isNotNull(), F.monotonically_increasing_id()) if "copies" in own.columns else F.lit(None).cast("long")
+    own = own.withColumn("lot", F.pmod(F.xxhash64("digest", dealt), F.lit(lots)).cast("long")).drop("copies")
     schema = T.StructType([
         T.StructField("key", T.StringType()), T.StructField("piece", T.LongType()), T.StructField("n_words", T.LongType()),
         T.StructField("bin_id", T.LongType()), T.StructField("bin_words", T.LongType()),

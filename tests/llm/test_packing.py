@@ -80,3 +80,14 @@ def test_row_order_and_partitions_do_not_matter(docs):
     a = packing.pack(docs, lot_docs=60).collect()
     b = packing.pack(docs.repartition(7).orderBy(F.rand(3)), lot_docs=60).collect()
     assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+
+
+def test_repeated_rows_are_dealt_over_the_lots(spark):
+    """A third of the rows repeats one key and text: no lot gets them all."""
+    rows = [(7, "the same text", "s")] * 2_000 + [(None, None, None)] * 400 + [(10_000 + i, f"text number {i}", "a") for i in range(3_600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = packing.pack(docs, lot_docs=500).collect()
+    assert len(got) == len(rows)
+    lots = Counter(r.bin_id >> 24 for r in got if r.doc_id == 7)
+    assert len(lots) == 12 and max(lots.values()) < 400
+    assert max(Counter(r.bin_id for r in got if r.doc_id == 7).values()) == 1  # copies never share a bin
