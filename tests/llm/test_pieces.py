@@ -100,3 +100,61 @@ def test_query_samples_every_document(spark, docs, monkeypatch):
     want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in got} == want
     assert all(r.decoded_sha256 == want[r.doc_id] for r in got) and len({(r.doc_id, r.rank) for r in got}) == len(got)
+
+
+def edges_of(store, piece):
+    base, size, start, numbers, links = store.arrays
+    i = store.of[piece]
+    out = []
+    for end in range(1, size[i] + 1):
+        e, found = start[base[i] + end], []
+        while not found or numbers[e - 1, 0] < 2.0:
+            found.append((links[e, 0] - base[i], store.ids[links[e, 1]], numbers[e, 1], numbers[e, 2]))
+            assert not found[1:] or numbers[e - 1, 0] <= numbers[e, 0]
+            e += 1
+        out.append(sorted(found))
+    return out
+
+
+@pytest.mark.parametrize("power", [0.3, 1.0, 2.0])
+def test_array_lattices_are_the_plain_ones(docs, power):
+    known = pieces.vocabulary(MODEL, power)
+    store = pieces.Lattices(*known)
+    words = {p for r in docs.limit(60).collect() for p in token_counts.pre_tokens(r.text or "")}
+    words = sorted(words)[:1_500] + [" é世😀x", "\n\n", "   ", "a" * 2_000, "ab" * 300, "😀" * 200, "\x00"]
+    store.add(words[:700])
+    store.add(words[700:])
+    store.ready()
+    for p in words:
+        plain = pieces.Lattice(p, *known)
+        for got, want in zip(edges_of(store, p), plain.edges[1:], strict=True):
+            want = sorted((b, ids, share, other) for share, b, ids, other in want)
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+            for x, y in zip(got, want):
+                assert x[2] == pytest.approx(y[2], rel=1e-9) and x[3] == pytest.approx(y[3], rel=1e-9, abs=1e-300)
+
+
+def test_array_draws_have_the_right_shares():
+    known = pieces.vocabulary(MODEL, 0.3)
+    store = pieces.Lattices(*known)
+    text = [" ab", " to", " ab"]
+    store.add([" ab", " to"])
+    store.ready()
+    parts = [pieces.Lattice(p, *known) for p in text]
+    full = {a + b + c: p * q * r for _, a, p in every(parts[0]) for _, b, q in every(parts[1]) for _, c, r in every(parts[2])}
+    n, first, both = 6_000, Counter(), Counter()
+    for seed in range(n):
+        drawn = pieces.sample(store.chain(text), 2, seed)
+        assert drawn[0][0] >= drawn[1][0] >= drawn[2][0] and drawn[0][2] != drawn[1][2]
+        assert drawn[0][1] == pytest.approx(math.log(full[drawn[0][2]])) and drawn[1][1] == pytest.approx(math.log(full[drawn[1][2]]))
+        first[drawn[0][2]] += 1
+        both[drawn[0][2], drawn[1][2]] += 1
+    for x in sorted(full, key=full.get, reverse=True)[:3]:
+        assert first[x] / n == pytest.approx(full[x], abs=4 * math.sqrt(full[x] / n))
+        for y in sorted(full, key=full.get, reverse=True)[:3]:
+            p = full[x] * full[y] / (1 - full[x])
+            if x != y:
+                assert both[x, y] / n == pytest.approx(p, abs=4 * math.sqrt(p / n))
+    count = len(full)
+    drawn = pieces.sample(store.chain(text), count + 5, 1)
+    assert len(drawn) == len({x[2] for x in drawn}) == count
