@@ -24,6 +24,8 @@ from .common import residue, whole
 
 #: Labelled documents used for fitting: at most so many of each class.
 MAX_PER_CLASS = 1_500
+#: Longest document, in characters, that is used for fitting; all are scored whole.
+MAX_CHARS = 500_000
 #: Documents with this score or more are toxic.
 THRESHOLD = 0.3
 #: Words are runs of letters and digits, without the marks around them.
@@ -178,17 +180,20 @@ def train(texts: list[str], labels: list[int], shape: Shape = Shape()) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = MAX_PER_CLASS, shape: Shape = Shape()) -> Model:
     """Train on at most ``max_per_class`` labelled documents of each class, chosen by a
-    hash of the key, in one task that holds the chosen documents. Rows without key or
-    label are no labels; a key labelled twice counts with its largest label. The label
-    table is read whole; only the model reaches the driver."""
+    hash of the key, in one task that holds the chosen documents; longer ones than
+    ``MAX_CHARS`` are not fitted on. Rows without key or label are no labels; a key labelled
+    twice counts with its largest label, a key of several documents with its smallest text.
+    The label table is read whole; only the model reaches the driver."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     marked = marked.groupBy(F.col(key).alias("_marked")).agg(F.max(F.when(F.col(label) != 0, 1).otherwise(0)).alias("_label"))
     chosen = None
     for value in (0, 1):
         part = marked.where(F.col("_label") == value).orderBy(F.xxhash64(F.col("_marked")), "_marked").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    own = docs.select(F.col(key).alias("_key"), whole(text).alias("_text"))
-    rows = own.join(F.broadcast(chosen), F.col("_key") == F.col("_marked")).select(F.lit(0).alias("_one"), "_key", "_text", "_label")
+    own = docs.select(F.col(key).alias("_key"), whole(text).alias("_text")).where(F.length("_text") <= MAX_CHARS)
+    rows = own.join(F.broadcast(chosen), F.col("_key") == F.col("_marked"))
+    # one text a key, combined before the shuffle, however many rows repeat it
+    rows = rows.groupBy("_key").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label")).select(F.lit(0).alias("_one"), "_key", "_text", "_label")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_key", "_text"])

@@ -148,3 +148,36 @@ def test_toxicity_odd(spark, odd, none):
     assert none.select(toxicity.score(none, model)).count() == 0
     nothing = toxicity.fit(none, labels)
     assert odd.select(toxicity.score(odd, nothing).alias("s")).agg(F.max("s")).first()[0] < 0.3
+
+
+def test_a_labelled_key_that_repeats_counts_once(spark):
+    rows = [(i, f"bad{i % 7} awful{i % 5} words here {i}" if i % 2 else f"calm{i % 7} gentle{i % 5} words here {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = plain.unionByName(plain.where("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", "text"))
+    one, two = toxicity.fit(plain, labels), toxicity.fit(hot.repartition(5), labels)
+    assert one.bias == two.bias and (one.pull == two.pull).all()
+
+
+def plain_bags(text, window):
+    found = toxicity.WORD.findall(text.lower()) or [""]
+    return [set(found[i : i + window]) for i in range(0, len(found), window)]
+
+
+def test_scores_are_those_of_a_plain_loop(docs):
+    """Words of a window by their subwords, its mean pull, and the largest window of a text."""
+    shape = toxicity.Shape()
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(shape, rng.normal(size=shape.buckets).astype(np.float32), -0.2)
+    texts = ["", "one", "Bad words, bad words! " * 9] + [(r.text or "") for r in docs.limit(25).collect()]
+    got = model.score(texts)
+    for text, score in zip(texts, got):
+        logits = []
+        for bag in plain_bags(text, shape.window):
+            total = size = 0
+            for word in bag:
+                _, grams = toxicity.subwords([word], shape)
+                total += sum(float(model.pull[g]) for g in grams)
+                size += len(grams)
+            logits.append(total / (size + shape.floor))
+        assert score == pytest.approx(1 / (1 + np.exp(-(max(logits) + model.bias))), rel=1e-6)
