@@ -125,3 +125,22 @@ def test_importance_of_a_planted_column(spark):
     df = ring(spark).selectExpr("id", "a", "noise", "cast(a > 0.25 as int) AS target")
     got = {r["feature"]: r["importance"] for r in select.tree_importance(df, "target", ["a", "noise"], 20, key="id").collect()}
     assert got["a"] > 0.9 and sum(got.values()) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_large_trees_stay_with_tasks(spark, monkeypatch, classes):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, float(rng.integers(0, 40)), float(rng.normal()), float(rng.integers(0, classes or 9))) for i in range(600)], "k long, a double, b double, label double")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    model = trees.Trees(classes, 3, None, "all", bootstrap=False, random_cuts=True).fit(rows)
+    want = sorted(tuple(r) for r in model.transform(rows).select("k", "prediction").collect())
+    monkeypatch.setattr(trees, "RANDOM_CELLS", 200, raising=False)
+    monkeypatch.setattr(trees, "MODEL_BYTES", 100)
+    monkeypatch.setattr(trees, "DEALT_ROWS", 7, raising=False)
+    model = trees.Trees(classes, 3, None, "all", bootstrap=False, random_cuts=True).fit(rows)
+    assert model.parts.count() > 20
+    whole = []
+    monkeypatch.setattr(trees.TreesModel, "_loaded", lambda self, rows: whole.append(len(rows)))
+    found = sorted(tuple(r) for r in model.transform(rows).select("k", "prediction").collect())
+    assert not whole
+    assert [k for k, _ in found] == [k for k, _ in want] and np.allclose([p for _, p in found], [p for _, p in want])
