@@ -221,3 +221,54 @@ def test_intermediates_are_written_and_dropped(spark, tmp_path, monkeypatch):
     assert kept.count() == 5 and any(tmp_path.rglob("*.parquet"))
     session.drop_intermediates(spark)
     assert not any(tmp_path.rglob("*.parquet"))
+
+
+def test_crowded_cells_of_many_dimensions_are_not_compared_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from gridsmith.operators import density
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.concatenate([rng.normal(0, 0.05, (150, 2)), np.tile(c, (150, 1))], axis=1) for c in np.eye(4)[:3] * 3] + [rng.normal(0, 6, (9, 6))])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = (d <= 0.5).sum(1) >= 5
+    monkeypatch.setattr(density, "_block_solve", None)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, x array<double>")
+    found = {r["key"]: r for r in density.label(rows, 0.5, 5).collect()}
+    assert [found[i]["is_core"] for i in range(len(x))] == core.tolist()
+    for i in range(450):
+        assert found[i]["cluster"] == i // 150 or not (d[i] <= 0.5)[core].any()
+    assert all(found[i]["cluster"] == -1 for i in range(450, 459) if not (d[i] <= 0.5)[core].any())
+
+
+def test_product_distances_decide_as_plain_ones():
+    import numpy as np
+
+    from gridsmith.operators import density, neighbors
+
+    for case in range(40):
+        rng = np.random.default_rng(case)
+        dims = int(rng.integers(1, 70))
+        p, q = rng.integers(-2, 3, (60, dims)) + 1000.0 * (case % 3), rng.integers(-2, 3, (40, dims)) + 1000.0 * (case % 3)
+        q[:10] = p[:10]
+        if case % 2:
+            p, q = p + rng.normal(0, 1e-9, p.shape), q + rng.normal(0, 1e-9, q.shape)
+        plain = np.sqrt(((q[:, None] - p[None]) ** 2).sum(-1))
+        for eps in (0.0, float(np.median(plain)), 1.0):
+            near = neighbors.within(q, p, eps)
+            assert (near == (plain <= eps)).all()
+            a, b = density._spanning(near)
+            assert near.any() == bool(len(a)) and len(a) <= sum(near.shape)
+            root = {}
+
+            def find(v):
+                while root.setdefault(v, v) != v:
+                    v = root[v]
+                return v
+
+            for i, j in zip(a, b):
+                root[find(("q", i))] = find(("p", j))
+            assert all(find(("q", i)) == find(("p", j)) for i, j in zip(*np.nonzero(near)))
+        some = neighbors.nearest_of(q, p, 5)
+        kept = np.isfinite(some)
+        assert (some[kept] == plain[kept]).all() and (plain[~kept] >= np.broadcast_to(np.sort(plain, axis=1)[:, 4:5], plain.shape)[~kept]).all()
