@@ -190,3 +190,25 @@ def test_saved_clusters_score_alike(spark, tmp_path, algorithm):
     assert sorted(map(tuple, again.score(df, "id").collect())) == sorted(map(tuple, bundle.score(df, "id").collect()))
     assert (again.n_clusters, again.silhouette, again.features) == (bundle.n_clusters, bundle.silhouette, bundle.features)
     assert again.assigned.count() == 120 and (again.centers is None) == (bundle.centers is None)
+
+
+def test_euclidean_silhouette_moves_rows_by_large_blocks(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from gridsmith.operators import cluster
+
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(0, 1, (2500, 2)), rng.integers(0, 3, 2500)
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c))], "_key long, x array<double>, _cluster int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    sums = np.stack([d[:, c == k].sum(1) for k in range(3)])
+    n = np.bincount(c)
+    own = sums[c, np.arange(2500)] / (n[c] - 1)
+    other = np.where(np.arange(3)[:, None] == c, np.inf, sums / n[:, None]).min(0)
+    blocks, plain = [], F.pmod
+    monkeypatch.setattr(cluster.F, "pmod", lambda a, b: blocks.append(b) or plain(a, b))
+    found = cluster.silhouette_euclidean(rows.select("_key", array_to_vector("x").alias("features"), "_cluster"))
+    assert np.isclose(found, ((other - own) / np.maximum(own, other)).mean())
+    assert "1" in str(blocks[0])  # 2,500 rows are one block
