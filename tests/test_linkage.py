@@ -68,3 +68,37 @@ def test_single_linkage_of_all_rows(spark):
     bundle = cluster.fit(df, ["a", "b"], "id", cluster.AGGLOMERATIVE, n_clusters=3, linkage="single")
     sizes = sorted((r["Label"], r["Count"]) for r in cluster.label_counts(bundle.assigned).collect())
     assert sizes == [("0", 300), ("1", 400), ("2", 1)]
+
+
+def test_few_passes_with_ties_and_far_points(spark, monkeypatch):
+    """The same edges as over all pairs, ties by their ends, in passes that do not grow with the rows."""
+    rng = np.random.default_rng(9)
+    lines = np.column_stack([rng.integers(0, 400, 900) / 50, rng.integers(0, 4, 900), rng.integers(0, 2, 900) * 3])
+    made = np.unique(np.concatenate([lines, [[90.0, 1.0, 0.0], [-40.0, 2.0, 3.0]]]).astype(float), axis=0)
+    keys = sorted(map(str, range(len(made))))
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, made)], "key string, x array<double>").repartition(4)
+    a, b, dist = linkage._tree(made)
+    want = {(keys[p], keys[q], d) for p, q, d in zip(a, b, dist)}
+    assert np.allclose(sorted(dist), kruskal(list(enumerate(made.tolist())))[0])
+    calls, write = [], linkage.materialize
+    monkeypatch.setattr(linkage, "materialize", lambda df: calls.append(1) or write(df))
+    tree = linkage.spanning_tree(points, block_rows=32)
+    assert {tuple(r) for r in tree.collect()} == want and len(calls) <= 9
+
+
+def test_reduced_by_rounds(spark):
+    rng = np.random.default_rng(4)
+    ends = [(int(u), int(v), int(w)) for u, v, w in zip(rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)) if u != v]
+    rows = [(f"{u:02}", f"{v:02}", f"{min(u, v):02}", f"{max(u, v):02}", float(w)) for u, v, w in ends]
+    edges = spark.createDataFrame(rows, "u string, v string, a string, b string, dist double")
+    one, *more = ({tuple(r) for part in linkage._reduced(edges, limit) for r in part.collect()} for limit in (1_000, 20))
+    assert more == [one] and len(one) == len({e for u, v, _ in ends for e in (u, v)}) - 1
+
+
+def test_cut_of_a_long_chain(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "STAR_EDGES", 50)
+    keys = [f"{i:04}" for i in range(500)]
+    points = spark.createDataFrame([(k,) for k in keys], "key string")
+    tree = spark.createDataFrame([(a, b, 2.0 if i == 299 else 1.0) for i, (a, b) in enumerate(zip(keys, keys[1:]))], linkage.EDGES)
+    sizes = sorted((r["cluster"], r["count"]) for r in linkage.cut(points, tree, height=1.0).groupBy("cluster").count().collect())
+    assert sizes == [("0000", 300), ("0300", 200)]
