@@ -356,6 +356,16 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     n = groups.count()
     if n <= block_rows:
         return tree[0].unionByName(groups.groupBy().applyInPandas(_in_one_task, EDGES))
+    # points without a place are endlessly far from all others, and linked to the first key
+    lost = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    fact = groups.agg(F.count_if(lost).alias("lost"), F.min("first").alias("least"), F.min(F.when(~lost, F.col("first"))).alias("placed")).first()
+    if fact["lost"]:
+        far = groups.where((lost & (F.col("first") != fact["least"])) | ((F.col("first") == F.lit(fact["placed"])) & F.lit(fact["placed"] != fact["least"])))
+        tree.append(far.select(F.lit(fact["least"]).alias("a"), F.col("first").alias("b"), F.lit(float("inf")).alias("dist")))
+        groups, n = materialize(groups.where(~lost)), n - fact["lost"]
+    if n <= block_rows:
+        tree += [groups.groupBy().applyInPandas(_in_one_task, EDGES)] if n else []
+        return _all(tree)
     few = min(MAX_CELLS, n // min(CELL_ROWS, block_rows) + 1) * SAMPLED
     sample = groups.select("first", "x")
     sample = np.array([r["x"] for r in (hash_sample(sample, "first", few) if few < n else sample).collect()], float)  # bounded
@@ -378,6 +388,10 @@ def spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     for more in found:
         edges = edges.unionByName(more)
     tree += [own.where("kind = 0").select("a", "b", "dist"), *_reduced(edges)]
+    return _all(tree)
+
+
+def _all(tree: list[DataFrame]) -> DataFrame:
     out = tree[0]
     for part in tree[1:]:
         out = out.unionByName(part)

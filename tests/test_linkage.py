@@ -102,3 +102,15 @@ def test_cut_of_a_long_chain(spark, monkeypatch):
     tree = spark.createDataFrame([(a, b, 2.0 if i == 299 else 1.0) for i, (a, b) in enumerate(zip(keys, keys[1:]))], linkage.EDGES)
     sizes = sorted((r["cluster"], r["count"]) for r in linkage.cut(points, tree, height=1.0).groupBy("cluster").count().collect())
     assert sizes == [("0000", 300), ("0300", 200)]
+
+
+@pytest.mark.parametrize("first_lost", [False, True])
+def test_points_without_a_place(spark, first_lost):
+    """Missing and endless coordinates give the same edges in cells as in one task."""
+    rng = np.random.default_rng(3)
+    rows = [(f"{i:03}", v) for i, v in enumerate(rng.normal(size=(90, 2)).tolist())]
+    for i in (17, 40, 0) if first_lost else (17, 40):
+        rows[i] = (rows[i][0], [None if i == 17 else float("inf") if i == 40 else float("nan"), rows[i][1][1]])
+    points = spark.createDataFrame(rows, "key string, x array<double>")
+    one, cells = ({tuple(r) for r in linkage.spanning_tree(points, block_rows=b).collect()} for b in (4_096, 16))
+    assert len(one) == 89 and cells == one
