@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 
+from gridsmith import session
 from gridsmith.operators import select, train, trees
 from gridsmith.session import LIMITS
 
@@ -144,3 +145,43 @@ def test_large_trees_stay_with_tasks(spark, monkeypatch, classes):
     found = sorted(tuple(r) for r in model.transform(rows).select("k", "prediction").collect())
     assert not whole
     assert [k for k, _ in found] == [k for k, _ in want] and np.allclose([p for _, p in found], [p for _, p in want])
+
+
+def test_features_are_summed_once_a_level(monkeypatch):
+    """Trees that try every feature look at each once a level for all nodes together, and
+    equal gains fall to the feature a node tries first."""
+    calls = []
+    sides = trees._Rows.sides
+    monkeypatch.setattr(trees._Rows, "sides", lambda *a: calls.append(1) or sides(*a))
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (6, 400)).astype(np.float64)
+    x[5] = x[4]
+    y = x[0] * 3 + x[1] + rng.normal(size=400)
+    spec = trees.Spec(0, 6, 6, 1, 5, False, True, 7)
+    nodes, _ = trees.grow(spec, x, y, np.ones(400), spec.root(0), 5)
+    assert len(calls) <= 6 * 5
+    at = trees.route(nodes, x)
+    assert nodes["value"][at][:, 0].sum() >= 400 and np.allclose(nodes["value"][0], [400, y.sum(), (y * y).sum()])
+
+
+def test_rows_are_dealt_in_blocks(spark, monkeypatch):
+    """What a batch of rows gives a part of a tree leaves it as one record."""
+    monkeypatch.setattr(trees, "RANDOM_CELLS", 700)
+    dealt = []
+    rows = spark.range(0, 2_000, 1, 2).selectExpr("array(double(id % 7), double(id % 11)) AS x", "double(id % 5) AS label", "id AS key")
+    group = type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *c: (dealt.append(self) if c == ("tree", "part") else None) or group(self, *c))
+    spec = trees.Spec(0, 2, 2, 3, 4, False, True, 3)
+    growing = trees._Growing(spec, rows, 2_000, np.array([2_000.0, 4_000.0, 12_000.0]))
+    growing.run()
+    growing.finished()
+    parts = sum(len(t.parts) for t in growing.trees)
+    assert parts and dealt[0].count() <= 2 * parts
+
+
+def test_rows_of_many_passes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(LIMITS, "spread_rows", 100)
+    rows = spark.range(0, 300, 1, 1).selectExpr("id AS k", "id % 3 AS v")
+    whole = session.spread(rows, "k")
+    assert whole.rdd.getNumPartitions() > 1 and sorted(whole.collect()) == sorted(rows.collect())
+    assert session.spread(rows.limit(99), "k").rdd.getNumPartitions() == 1
