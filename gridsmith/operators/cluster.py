@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_numeric, numeric_columns
-from ..session import materialize
+from ..session import materialize, spread
 from . import anomaly, density, linkage, mlprep
 from .neighbors import as_points, knn
 
@@ -262,7 +262,7 @@ def fit(df: DataFrame, features: list[str] | None, key: str, algorithm: str = KM
     if raw.count() < LEAST_ROWS:
         raise ValueError(f"needs at least {LEAST_ROWS} complete rows")
     prep = mlprep.build(raw, features)
-    vectors = materialize(prep.transform(raw))
+    vectors = spread(prep.transform(raw), "_key")
     scores, model, sil = False, None, None
     if algorithm == KMEANS:
         best = best_kmeans(vectors, int(params.get("n_clusters", 3)), int(params.get("restarts", RESTARTS)))

@@ -272,3 +272,16 @@ def test_product_distances_decide_as_plain_ones():
         some = neighbors.nearest_of(q, p, 5)
         kept = np.isfinite(some)
         assert (some[kept] == plain[kept]).all() and (plain[~kept] >= np.broadcast_to(np.sort(plain, axis=1)[:, 4:5], plain.shape)[~kept]).all()
+
+
+def test_cluster_rows_are_dealt_over_cores(spark, monkeypatch):
+    from gridsmith.operators import cluster
+    from gridsmith.session import LIMITS
+
+    monkeypatch.setattr(LIMITS, "spread_rows", 50)
+    seen, merge = [], cluster._agglomerate
+    monkeypatch.setattr(cluster, "_agglomerate", lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or merge(rows, *rest))
+    df = spark.range(200).coalesce(1).selectExpr("id", "cast(id % 4 * 100 + id % 3 as double) AS v")
+    found = cluster.fit(df, ["v"], "id", cluster.AGGLOMERATIVE, n_clusters=4).assigned
+    assert seen[0] == spark.sparkContext.defaultParallelism > 1
+    assert found.groupBy("Cluster").agg(F.count_distinct(F.col("id") % 4).alias("n"), F.count("id").alias("rows")).where("n = 1 AND rows = 50").count() == 4
