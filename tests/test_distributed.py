@@ -285,3 +285,32 @@ def test_cluster_rows_are_dealt_over_cores(spark, monkeypatch):
     found = cluster.fit(df, ["v"], "id", cluster.AGGLOMERATIVE, n_clusters=4).assigned
     assert seen[0] == spark.sparkContext.defaultParallelism > 1
     assert found.groupBy("Cluster").agg(F.count_distinct(F.col("id") % 4).alias("n"), F.count("id").alias("rows")).where("n = 1 AND rows = 50").count() == 4
+
+
+def test_neighbour_rows_are_dealt_over_cores(spark, monkeypatch):
+    seen, expand = [], neighbors.candidate_cells
+    monkeypatch.setattr(neighbors, "candidate_cells", lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or expand(rows, *rest))
+    rows = spark.range(300).coalesce(1).selectExpr("id AS key", "array(cast(id * id % 101 as double), cast(id % 7 as double)) AS x")
+    found = neighbors.knn(rows, rows, 2, exclude_same_key=True, block_rows=32)
+    x = np.array([[i * i % 101, i % 7] for i in range(300)], float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = {(i, j) for i in range(300) for j in sorted((j for j in range(300) if j != i), key=lambda j: (d[i, j], j))[:2]}
+    assert seen == [spark.sparkContext.defaultParallelism] and {(r["key"], r["neighbor"]) for r in found.collect()} == want
+
+
+def test_pairs_hold_the_nearest():
+    for case in range(30):
+        rng = np.random.default_rng(case)
+        dims, k = int(rng.integers(1, 70)), int(rng.integers(1, 6))
+        p, q = rng.integers(-2, 3, (60, dims)) + 1000.0 * (case % 3), rng.integers(-2, 3, (40, dims)) + 1000.0 * (case % 3)
+        if case % 2:
+            p = p + rng.normal(0, 1e-9, p.shape)
+        plain = np.sqrt(((q[:, None] - p[None]) ** 2).sum(-1))
+        barred = rng.random(plain.shape) < 0.1
+        row, at, d = neighbors.nearest_pairs(q, p, k, barred)
+        assert (d == plain[row, at]).all() and not barred[row, at].any()
+        free = np.where(barred, np.inf, plain)
+        kept = np.full(plain.shape, np.inf)
+        kept[row, at] = d
+        assert (np.sort(kept, axis=1)[:, :k] == np.sort(free, axis=1)[:, :k]).all()
+    assert neighbors.nearest_pairs(np.array([[np.inf, 0.0]]), np.zeros((3, 2)), 1) is None
