@@ -68,3 +68,23 @@ def test_odd_rows(odd, none):
     assert kept.where("doc_id = 6").count() == 1 and kept.where("doc_id in (2, 3, 7)").count() == 0
     assert near.first_near(none).count() == 0
     assert near.first_near(odd.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == kept.count()
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    from gridsmith.llm import simhash
+
+    seen, grown = [], near._linked
+
+    def spy(live, texts, words, shelf):
+        out = grown(live, texts, words, shelf)
+        trees = simhash.groups(texts, "node", shingle=words).groupBy("component_id").count().where("count > 1")
+        seen.append((out.where("at < 0").count(), trees.agg(F.sum("count")).first()[0], out.where("at >= 0").count() == live.count()))
+        return out
+
+    monkeypatch.setattr(near, "_linked", spy)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["a"]), " ".join(words[:-1] + ["b"]), " ".join(words[::-1])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = corpus_pipeline.near_dedup(spark, rows, "").collect()
+    assert sorted(r.doc_id for r in got) == brute(rows.collect()) == [0, 3]
+    assert len(seen) == 1 and seen[0][0] == seen[0][1] >= 2 and seen[0][2]
