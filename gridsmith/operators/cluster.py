@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, is_numeric, numeric_columns
+from ..functions.distributed import lookup_join
 from ..session import materialize, spread
-from . import anomaly, density, linkage, mlprep
+from . import anomaly, density, hierarchy, linkage, mlprep
 from .neighbors import as_points, knn
 
 KMEANS = "K-Means Clustering"
@@ -25,8 +26,6 @@ ISOLATION = "Isolation Forest (Anomaly Detection)"
 ALGORITHMS = [KMEANS, AGGLOMERATIVE, DBSCAN, ISOLATION]
 # Restarts, seed, fewest rows.
 RESTARTS, SEED, LEAST_ROWS = 10, 42, 5
-# Centres that the linkage step merges unless the caller says otherwise.
-MICRO = 500
 LINKAGES = ("ward", "complete", "average", "single")
 
 
@@ -41,68 +40,6 @@ def nearest_centre(x: Column, centres: list[list[float]], names: list | None = N
     return at if names is None else F.element_at(F.array(*[F.lit(n) for n in names]), at + 1)
 
 
-def nearest_of_many(centres: list[list[float]]):
-    """As ``nearest_centre`` for hundreds of centres, in Arrow batches."""
-
-    @F.pandas_udf("int")
-    def index(x):
-        import numpy as np
-        import pandas as pd
-
-        c = np.asarray(centres)
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        m = np.stack(x.to_numpy())
-        step = max(1, 4_000_000 // max(c.size, 1))
-        parts = [((m[s : s + step, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1) for s in range(0, len(m), step)]
-        return pd.Series(np.concatenate(parts).astype("int32"))
-
-    return index
-
-
-def link(centres: list[list[float]], weights: list[float], k: int, how: str) -> list[int]:
-    """Group of each of a bounded number of weighted centres after merging down to k."""
-    import numpy as np
-
-    if how not in LINKAGES:
-        raise ValueError(f"unknown linkage '{how}'; one of {LINKAGES}")
-    c, w = np.asarray(centres, dtype=float), np.asarray(weights, dtype=float)
-    m = len(c)
-    d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-    if how == "ward":
-        d = d * (w[:, None] * w[None, :]) / (w[:, None] + w[None, :])
-    else:
-        d = np.sqrt(d)
-    np.fill_diagonal(d, np.inf)
-    member = [[i] for i in range(m)]
-    live = np.ones(m, dtype=bool)
-    for _ in range(max(m - k, 0)):
-        i, j = divmod(int(d.argmin()), m)
-        i, j = min(i, j), max(i, j)
-        if how == "ward":
-            total = w[i] + w[j] + w
-            new = ((w[i] + w) * d[i] + (w[j] + w) * d[j] - w * d[i, j]) / total
-        elif how == "complete":
-            new = np.maximum(d[i], d[j])
-        elif how == "single":
-            new = np.minimum(d[i], d[j])
-        else:
-            new = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        member[i] += member[j]
-        live[j] = False
-        new[~live] = np.inf
-        new[i] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-    groups = sorted((min(member[i]), member[i]) for i in range(m) if live[i])
-    out = [0] * m
-    for g, (_, items) in enumerate(groups):
-        for i in items:
-            out[i] = g
-    return out
-
-
 def best_kmeans(vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED, parallelism: int = 4):
     """The restart with the lowest cost; a few are submitted at a time."""
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
@@ -271,7 +208,7 @@ def fit(df: DataFrame, features: list[str] | None, key: str, algorithm: str = KM
     elif algorithm == AGGLOMERATIVE and params.get("linkage") == "single":
         rows = _single_linkage(vectors, int(params.get("n_clusters", 3)))
     elif algorithm == AGGLOMERATIVE:
-        rows = _agglomerate(vectors, int(params.get("n_clusters", 3)), params.get("linkage", "ward"), int(params.get("micro", MICRO)))
+        rows = _agglomerate(vectors, int(params.get("n_clusters", 3)), params.get("linkage", "ward"))
     elif algorithm == DBSCAN:
         params = {"eps": float(params.get("eps", 0.5)), "min_samples": int(params.get("min_samples", 5))}
         done = density.label(as_points(vectors, "_key", "features"), params["eps"], params["min_samples"])
@@ -321,20 +258,13 @@ def _single_linkage(vectors: DataFrame, k: int) -> DataFrame:
     return named.withColumn("_cluster", place[F.col("cluster")]).drop("cluster")
 
 
-def _agglomerate(vectors: DataFrame, k: int, how: str, micro: int = MICRO) -> DataFrame:
-    """Merge at most ``micro`` weighted centres that leave the least squared distance to
-    the rows: found by k-means, or with distance zero the distinct rows themselves when
-    there are no more of them. More centres come closer to the linkage of all rows."""
-    x = vector_to_array("features")
-    few = vectors.select(x.alias("x")).distinct().limit(micro + 1).count() <= micro
-    if few:
-        groups = vectors.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first")).orderBy("first").collect()
-        centres = [list(r["x"]) for r in groups]
-    else:
-        centres = [list(map(float, c)) for c in KMeans(k=micro, seed=SEED).fit(vectors).clusterCenters()]
-    rows = vectors.withColumn("_micro", nearest_of_many(centres)(x))
-    sizes = {r["_micro"]: r["count"] for r in rows.groupBy("_micro").count().collect()}
-    used = sorted(sizes)
-    group = link([centres[i] for i in used], [sizes[i] for i in used], k, how)
-    place = F.create_map(*[F.lit(int(v)) for iv in zip(used, group) for v in iv])
-    return rows.withColumn("_cluster", place[F.col("_micro")]).drop("_micro")
+def _agglomerate(vectors: DataFrame, k: int, how: str) -> DataFrame:
+    """Clusters of all rows by ward, complete or average linkage, numbered by their smallest key."""
+    rows = vectors.withColumn("x", vector_to_array("features"))
+    groups = rows.groupBy("x").agg(F.min("_key").cast("string").alias("key"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups.withColumn("key", F.concat("key", F.lit("|"), F.hex(F.xxhash64("x")))))  # keys may repeat
+    found = groups.join(hierarchy.cut(groups, hierarchy.dendrogram(groups, how), k), "key").select("x", "cluster", "n")
+    named = materialize(lookup_join(rows, found, ["x"], "n").drop("x"))
+    firsts = named.groupBy("cluster").agg(F.min("_key").alias("first")).orderBy("first", "cluster").collect()  # k rows
+    place = F.create_map(*[F.lit(v) for i, r in enumerate(firsts) for v in (r["cluster"], i)])
+    return named.withColumn("_cluster", place[F.col("cluster")]).drop("cluster")
