@@ -97,6 +97,59 @@ def test_same_trees_for_any_partitioning_and_dealing(spark, monkeypatch, random_
         assert sum(abs(found[i] - truth[i]) < 0.5 for i in truth) >= 0.95 * len(truth)
 
 
+def leaves(model):
+    """Feature and cut on the way to each leaf, and its sums."""
+    out, held = set(), model._loaded(model.parts.collect())
+
+    def walk(t, nodes, i, way):
+        f = int(nodes["feature"][i])
+        if f < -1:
+            return walk(t, held[t][-2 - f], 0, way)
+        if f < 0:
+            return out.add((t, way, tuple(np.round(nodes["value"][i], 6))))
+        for k in (0, 1):
+            walk(t, nodes, int(nodes["left"][i]) + k, (*way, (f, round(float(nodes["cut"][i]), 9), k)))
+
+    for t, top in enumerate(model.tops):
+        walk(t, top, 0, ())
+    return out
+
+
+@pytest.mark.parametrize("classes", [3, 0])
+def test_large_nodes_have_the_cuts_of_small_ones(spark, monkeypatch, classes):
+    """Noise, ties, a rare value, constant features and a rule: whatever the size, one tree."""
+    rng = np.random.default_rng(6)
+    n = 1_500
+    x = np.column_stack([rng.normal(size=n) ** 3, rng.integers(0, 5, n), np.where(np.arange(n) % 700 == 3, -1.0, 2.0), *[np.ones(n)] * 9, rng.normal(size=n)])
+    y = (x[:, 0] > 0.1) + (rng.integers(0, 3, n) == 1) if classes else rng.integers(0, 50, n) + 9 * (x[:, 1] > 2)
+    names = [f"f{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], ["id", *names, "label"]).repartition(3)
+    df = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    fit = lambda: trees.Trees(classes, 2, 4, "sqrt", key="id").fit(df)
+    small = fit()
+    monkeypatch.setattr(trees, "CELLS", 4_000)
+    monkeypatch.setattr(trees, "BINS", 8)
+    large = fit()
+    assert max(len(t["feature"]) for t in large.tops) > 3 and leaves(large) == leaves(small)
+    assert np.allclose(large.importances, small.importances)
+
+
+def test_root_of_a_large_table(spark, monkeypatch, tmp_path):
+    """The registered root queries where the root, and each child, is too large for one task."""
+    import duckdb
+    from __spark_entry__ import QUERIES, SQL
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 4, float(rng.integers(1, 51)), float(rng.integers(90_000, 9_000_000)) / 100, int(rng.integers(0, 11)) / 100, int(rng.integers(0, 9)) / 100) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(trees, "CELLS", 700)
+    for name in ("tree_first_split", "tree_first_split_numeric"):
+        lineitem = duckdb.read_parquet(f"{tmp_path}/lineitem.parquet/*.parquet")  # noqa: F841
+        want = duckdb.sql(SQL[name]).fetchall()
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == want
+
+
 def test_without_bootstrap_leaves_are_pure(spark):
     df = ring(spark)
     model = trees.Trees(3, 3, None, "sqrt", bootstrap=False).fit(df)
